@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserakg.llm import components, leakage, tokenize
+from tesserakg.llm import components, leakage, similar, tokenize
 from tesserakg.runtime import table
 
 
@@ -12,6 +12,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.match_groups(table(spark, sf_dir, "mention_pairs"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.neighbours(table(spark, sf_dir, "processed_mention"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.token_ids(table(spark, sf_dir, "documents"))
 
@@ -20,7 +24,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p7_ids, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p6_found, p7_ids, p8_found)}
 
 ORACLE = {
     "p2_found": """
