@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserakg.runtime import cut, skew_join
+from tesserakg.runtime import cut, drop, skew_join
 
 SPLIT = 8
 
@@ -41,7 +41,9 @@ def _double(p: DataFrame) -> tuple[DataFrame, int]:
         stepped = cut(p.filter("done").unionByName(moved))
         now = stepped.filter(~F.col("done")).count()
         if now == left:
+            drop(stepped)
             return p, now
+        drop(p)
         p, left = stepped, now
     return p, 0
 
@@ -51,7 +53,8 @@ def _cycles(base: DataFrame, n: int) -> DataFrame:
     q, covered = cut(base), 1
     while covered < n:
         hop = q.select(F.col("node").alias("target"), F.col("target").alias("next"), F.col("low").alias("low_"))
-        q = cut(q.join(hop, "target").select("node", F.col("next").alias("target"), F.least("low", "low_").alias("low")))
+        before, q = q, cut(q.join(hop, "target").select("node", F.col("next").alias("target"), F.least("low", "low_").alias("low")))
+        drop(before)
         covered *= 2
     on = q.select(F.col("target")).distinct().join(q.select(F.col("node").alias("target"), F.col("low").alias("root")), "target")
     return q.select("node", "target").join(on, "target").select("node", "root")

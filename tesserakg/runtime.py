@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +17,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _shared(spark: SparkSession) -> tuple[str, object]:
+    """This session's own folder below the shared checkpoint folder, and its file system."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        configured = sc.getConf().get("spark.checkpoint.dir")
+        if configured is None and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoint-"))
+    folder = sc._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir(), "written")
+    return folder.toString(), folder.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared checkpoint folder so that later steps neither recompute nor depend on executors.
+    """The same rows, written once as Parquet to the shared checkpoint folder and read from there.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; a private one is set only where none is (tests, a single machine).
+    Later steps neither recompute them nor depend on executors, and their sizes come from the files, so that estimates
+    don't grow from round to round. The folder is the cluster's ``spark.checkpoint.dir``; a private one is set only where
+    none is on a single machine (tests). Files go with ``drop``, the rest when the driver ends.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder, fs = _shared(spark)
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    fs.deleteOnExit(jvm_path(path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes the files behind frames made by ``cut`` that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def heavy_keys(df: DataFrame, key: str, share: int = HEAVY_SHARE) -> DataFrame:
