@@ -1,8 +1 @@
 """Entity analytics on Spark: knowledge-graph records, candidate generation, linking, clustering and metrics."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions for Python workers travel with their code, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

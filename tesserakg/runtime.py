@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +17,31 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 1000
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, so that executors need no copy of it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tesserakg_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="package-")  # the driver serves the file from here to all executors
+    atexit.register(shutil.rmtree, folder, True)
+    name = str(Path(folder, "tesserakg_package.zip"))
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    sc.addPyFile(name)
+    sc._tesserakg_shipped = True
+
+
+def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
