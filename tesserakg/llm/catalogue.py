@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesserakg.llm import components, leakage, similar, tokenize
+from tesserakg.llm import components, encoding, leakage, similar, tokenize
 from tesserakg.runtime import table
 
 
@@ -24,7 +25,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p6_found, p7_ids, p8_found)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.garbled(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"))
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled documents with their chain and, where nothing was lost, the original text."""
+    return encoding.restored(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p6_found, p7_ids, p8_found, p9_found, p9_restored)}
 
 ORACLE = {
     "p2_found": """
