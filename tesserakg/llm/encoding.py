@@ -7,7 +7,7 @@ corpus. Within a record each site is garbled or not by itself, so that records m
 
 - Statistics: one scan counts characters and character pairs of all texts (hashed into a fixed number of cells) outside of
   what a multi-byte chain could explain, and the records per pool of sources.
-- Candidates: a second scan keeps, per record, the chains that its sites don't speak against, with these sites. Only this
+- Candidates: a second scan keeps, per record, the chains that one of its sites at least speaks for, with all their sites. Only this
   small table is read by the rounds.
 - Rounds: E gives each record its posterior over the chains, from the sites and the prior of its source and field; M adds
   up the posteriors per source pool (shrunk to the whole corpus, so weak evidence is pooled) and adds the restored characters
@@ -28,6 +28,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ CELLS, POOLS, ROUNDS = 1 << 18, 1 << 16, 4
 SHRINK, CHAR, PAIR = 20.0, 0.05, 0.95
 #: Unseen letters of two scripts side by side are so much less probable.
 MIXED = 0.01
+#: Runs of characters that a task remembers; bounds memory, changes no result.
+REMEMBERED = 200_000
 #: Log evidence below which no prior could make a chain win, and that of a lost character.
 LEAST, LOST = -12.0, 20.0
 
@@ -219,17 +222,30 @@ def _sums(df: DataFrame) -> list[dict[int, float]]:
     return out
 
 
-def text_sites(text: str, known: dict[str, list]) -> dict[int, Counter]:
-    """By chain: (left, site, right, restored) with their number."""
+def text_sites(text: str, chains: set[int], known: dict[str, list]) -> dict[int, Counter]:
+    """By chain asked for: (left, site, right, restored) with their number."""
     out: dict[int, Counter] = defaultdict(Counter)
     for left, run, right in _RUNS.findall(text):
         if run not in known:
-            if len(known) > 100_000:
-                known.clear()
             known[run] = sites(run)
         t, off = left + run + right, len(left)
         for chain, a, b, restored in known[run]:
-            out[chain][t[max(0, off + a - 1) : off + a], run[a:b], t[off + b : off + b + 1], restored] += 1
+            if chain in chains:
+                out[chain][t[max(0, off + a - 1) : off + a], run[a:b], t[off + b : off + b + 1], restored] += 1
+    return out
+
+
+def run_evidence(left: str, run: str, right: str, language: Language, known: dict[str, list]) -> np.ndarray:
+    """For each chain, the evidence of its sites in the run, and the best gain of one of them."""
+    if run not in known:
+        known[run] = sites(run)
+    t, off = left + run + right, len(left)
+    out = np.zeros((2, len(CHAINS)))
+    out[1] = -np.inf
+    for chain, a, b, restored in known[run]:
+        gain = language.gain(chain, t[max(0, off + a - 1) : off + a], run[a:b], t[off + b : off + b + 1], restored)
+        out[0, chain] += mixed(gain)
+        out[1, chain] = max(out[1, chain], gain)
     return out
 
 
@@ -238,23 +254,25 @@ _CANDIDATE = "id long, pool int, chain array<int>, lft array<string>, site array
 
 def _candidates(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        language, known, gains = Language(*shared.value), {}, {}
+        language, known, seen = Language(*shared.value), {}, {}
         for batch in batches:
+            if len(seen) > REMEMBERED or len(known) > REMEMBERED:
+                seen.clear(), known.clear()
             cols: list[list] = [[] for _ in range(8)]
             for key, pool, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if text.isascii():
                     continue
+                total, best = np.zeros(len(CHAINS)), np.full(len(CHAINS), -np.inf)
+                for x in _RUNS.findall(text):
+                    if (found := seen.get(x)) is None:
+                        found = seen[x] = run_evidence(*x, language, known)
+                    total += found[0]
+                    np.maximum(best, found[1], out=best)
                 rows = []
-                for chain, found in text_sites(text, known).items():
-                    total = 0.0
-                    for site, n in found.items():
-                        if (chain, *site) not in gains:
-                            if len(gains) > 300_000:
-                                gains.clear()
-                            gains[chain, *site] = mixed(language.gain(chain, *site))
-                        total += n * gains[chain, *site]
-                    if total > LEAST:
-                        rows += [(chain, *site, n) for site, n in found.items()]
+                chains = set(np.flatnonzero((total > LEAST) & (best > -1)).tolist())
+                if chains:
+                    for chain, counted in text_sites(text, chains, known).items():
+                        rows += [(chain, *site, n) for site, n in counted.items()]
                 if rows:
                     for col, value in zip(cols, (key, pool, *map(list, zip(*rows)))):
                         col.append(value)
