@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserakg.llm import components, encoding, leakage, similar, tokenize
+from tesserakg.llm import components, encoding, leakage, mapping, similar, tokenize
 from tesserakg.runtime import table
 
 
@@ -13,6 +13,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.match_groups(table(spark, sf_dir, "mention_pairs"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = table(spark, sf_dir, "le_titov_mention_mapping").select(F.col("entry_id").alias("key"), F.col("mention").alias("name"))
+    listed = table(spark, sf_dir, "parsed_dump")
+    names = listed.select("id", F.col("labels").alias("name")).unionByName(listed.select("id", F.explode("aliases").alias("name")))
+    return mapping.mapped(entries, names).toDF("entry_id", "qid")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.neighbours(table(spark, sf_dir, "processed_mention"))
 
@@ -34,7 +41,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restored(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p6_found, p7_ids, p8_found, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p6_found, p7_ids, p8_found, p9_found, p9_restored)}
 
 ORACLE = {
     "p2_found": """
