@@ -1,8 +1,9 @@
 """Freely typed names mapped to a canonical list by a prefix-filter set-similarity join.
 
 Names are first brought to one form: width, case, accents, look-alike letters of another script, transliteration, digits
-typed for letters, quotes, possessives, articles and abbreviated kind words; the words are sorted. Every distinct form is
-then a set of its letters and letter pairs (with occurrence numbers). Sets are ordered by global rarity; only their rare
+typed for letters, quotes, possessives, articles and abbreviated kind words; the words are sorted. Words that
+many listed names share (kinds: Bank, University ...) are recognised despite typing errors. Every distinct form is then a
+set of its kind words and, of its other words, the letters and letter pairs (with occurrence numbers). Sets are ordered by global rarity; only their rare
 prefixes are joined, under length and positional filters; candidates are verified by their exact Jaccard similarity and
 the edits between the forms, and the best one is kept. Forms without a partner are reported as unmatched.
 
@@ -31,6 +32,8 @@ from tesserakg.runtime import cut, heavy_keys, map_arrow, skew_join
 
 #: Least Jaccard similarity; cells of the hashed token counts; salts of a token that more than 1/1000 of the prefix rows have.
 LEAST, CELLS, SALTS = 0.45, 1 << 18, 32
+#: A word is a kind if more than one in KIND listed names has it: at most KIND times the words of a name, whatever the size.
+KIND = 200
 #: Names of up to so many words are compared in every order of them; longer ones in the sorted order only.
 WORDS = 5
 
@@ -70,16 +73,28 @@ def form(name: str) -> str:
     return " ".join(sorted(w.translate(_ONE_SOUND) for w in words))
 
 
-def tokens(f: str) -> list[str]:
-    """Letters and letter pairs of a form; the nth of several equal ones is a token of its own."""
+def tokens(f: str, kinds: frozenset[str] = frozenset()) -> list[str]:
+    """Kind words, letters and letter pairs of a form; the nth of several equal ones is a token of its own."""
     out, n = [], Counter()
     for w in f.split(" "):
-        for t in [*w, *map("".join, zip(f"#{w}", f"{w}#"))]:
+        for t in [f"={w}"] if w in kinds else [*w, *map("".join, zip(f"#{w}", f"{w}#"))]:
             n[t] += 1
             out.append(f"{t}{n[t]}")
     return out
 
 
+def settled(f: str, kinds: frozenset[str]) -> str:
+    """The form with its mistyped kind words in order."""
+    out = []
+    for w in f.split(" "):
+        if w not in kinds and len(w) > 4:
+            most = 1 if len(w) < 7 else 2
+            near = [(d, k) for k in kinds if len(k) > 4 and abs(len(k) - len(w)) <= most and (d := edits(w, k, most)) <= most]
+            w = min(near)[1] if near else w
+        out.append(w)
+    return " ".join(sorted(out))
+
+
 def edits(a: str, b: str, most: int) -> int:
     """Edits (also of neighbours that changed places), or most + 1 if more."""
     if abs(len(a) - len(b)) > most:
@@ -104,13 +119,15 @@ def allowed(a: str, b: str) -> int:
     return 0 if n < 5 else 1 if n < 8 else 2 if n < 14 else 3
 
 
-def closeness(a: str, b: str) -> tuple[float, int]:
+def closeness(a: str, b: str, kinds: frozenset[str] = frozenset(), least: float = 0.0) -> tuple[float, int]:
     """Exact Jaccard similarity of the token sets, and the least edits in any order of the second one's words (at most
     WORDS of them), also where one of the two is written without blanks."""
-    x, y = set(tokens(a)), set(tokens(b))
+    x, y = set(tokens(a, kinds)), set(tokens(b, kinds))
     jaccard, most = len(x & y) / max(1, len(x | y)), allowed(a, b)
+    if jaccard < least:
+        return jaccard, most + 1
     d = edits(a, b, most)
-    if d > most and jaccard >= 0.55:
+    if d > most:
         one, many = (a, b.split(" ")) if " " in b else (b, a.split(" "))
         if 1 < len(many) <= WORDS:
             blank = " " if " " in one else ""
@@ -136,12 +153,23 @@ def _forms(columns: int, schema: list[str]):
     return run
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n: Counter[int] = Counter()
-    for batch in batches:
-        for f in batch.column(0).to_pylist():
-            n.update(_cell(t) for t in tokens(f))
-    yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], ["cell", "n"])
+def _settled(kinds: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([settled(f, kinds) for f in batch.column(0).to_pylist()], pa.string())], ["form", "settled"])
+
+    return run
+
+
+def _cells(kinds: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[int] = Counter()
+        for batch in batches:
+            for f in batch.column(0).to_pylist():
+                n.update(_cell(t) for t in tokens(f, kinds))
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], ["cell", "n"])
+
+    return run
 
 
 def _cell(token: str) -> int:
@@ -155,11 +183,11 @@ def _prefixes(shared, least: float):
     """(token, form, size, place) of the rare prefix that any partner of the similarity asked for must meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        counts, kinds = shared.value
         for batch in batches:
             rows = []
             for f in batch.column(0).to_pylist():
-                ordered = sorted(set(tokens(f)), key=lambda t: (counts[_cell(t)], t))
+                ordered = sorted(set(tokens(f, kinds)), key=lambda t: (counts[_cell(t)], t))
                 n = len(ordered)
                 keep = n - int(np.ceil(least * n - 1e-9)) + 1
                 rows += [(t, f, n, i) for i, t in enumerate(ordered[:keep])]
@@ -168,12 +196,12 @@ def _prefixes(shared, least: float):
     return run
 
 
-def _verify(least: float):
+def _verify(kinds: frozenset[str], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                j, d = closeness(a, b)
+                j, d = closeness(a, b, kinds, least)
                 if j >= least and d <= allowed(a, b):
                     rows.append((a, b, j, d))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64(), pa.int32()))], ["form", "name", "jaccard", "edits"])
@@ -181,13 +209,20 @@ def _verify(least: float):
     return run
 
 
-def similar_forms(left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFrame:
+def kind_words(listed: DataFrame) -> frozenset[str]:
+    """Words that more than one in KIND forms has; a bounded number of them."""
+    total = listed.count()
+    words = listed.select(F.explode(F.array_distinct(F.split("form", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return frozenset(r["word"] for r in words.filter((F.col("n") * KIND > total) & (F.col("n") > 2)).collect())
+
+
+def similar_forms(left: DataFrame, right: DataFrame, least: float = LEAST, kinds: frozenset[str] = frozenset()) -> DataFrame:
     """``form, name, jaccard, edits`` of the pairs of distinct forms that are similar enough; left and right have ``form``."""
     both = left.select("form").unionByName(right.select("form"))
     counts = np.zeros(CELLS, dtype=np.int64)
-    got = map_arrow(both, _cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows
+    got = map_arrow(both, _cells(kinds), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows
     counts[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    shared = left.sparkSession.sparkContext.broadcast(counts)
+    shared = left.sparkSession.sparkContext.broadcast((counts, kinds))
     schema = "token string, form string, size int, place int"
     a = cut(map_arrow(left.select("form"), _prefixes(shared, least), schema))
     b = map_arrow(right.select("form"), _prefixes(shared, least), schema).toDF("token", "name", "name_size", "name_place")
@@ -200,7 +235,7 @@ def similar_forms(left: DataFrame, right: DataFrame, least: float = LEAST) -> Da
     left_over = 1 + F.least(F.col("size") - F.col("place"), F.col("name_size") - F.col("name_place")) - 1 + F.least("place", "name_place")
     near = (F.col("size") >= least * F.col("name_size")) & (F.col("name_size") >= least * F.col("size")) & (left_over >= needed)
     pairs = a.join(b, ["token", "salt"]).filter(near).select("form", "name").distinct()
-    return map_arrow(pairs, _verify(least), "form string, name string, jaccard double, edits int")
+    return map_arrow(pairs, _verify(kinds, least), "form string, name string, jaccard double, edits int")
 
 
 def mapped(entries: DataFrame, names: DataFrame, least: float = LEAST) -> DataFrame:
@@ -210,10 +245,14 @@ def mapped(entries: DataFrame, names: DataFrame, least: float = LEAST) -> DataFr
     typed = cut(map_arrow(typed, _forms(1, ["key", "form"]), f"key {kind}, form string"))
     listed = map_arrow(names.filter(F.col("id").isNotNull() & F.col("name").isNotNull()).select(F.col("id").cast("string").alias("id"), "name").distinct(), _forms(1, ["id", "form"]), "id string, form string")
     listed = cut(listed.filter("form != ''").groupBy("form").agg(F.min("id").alias("id")))
-    forms = typed.select("form").distinct().filter("form != ''")
-    equal = forms.join(listed, "form")
-    rest = cut(forms.join(listed, "form", "left_anti"))
-    found = similar_forms(rest, listed, least).join(listed.withColumnRenamed("form", "name"), "name")
+    kinds = kind_words(listed)
+    tidy = "form string, settled string"
+    listed = cut(map_arrow(listed.select("form"), _settled(kinds), tidy).join(listed, "form").groupBy(F.col("settled").alias("form")).agg(F.min("id").alias("id")))
+    forms = cut(map_arrow(typed.select("form").distinct().filter("form != ''"), _settled(kinds), tidy))
+    equal = forms.join(listed.withColumnRenamed("form", "settled"), "settled").select("form", "id")
+    rest = cut(forms.join(listed.select(F.col("form").alias("settled")), "settled", "left_anti"))
+    close = similar_forms(rest.select(F.col("settled").alias("form")).distinct(), listed, least, kinds).join(listed.withColumnRenamed("form", "name"), "name")
+    found = close.withColumnRenamed("form", "settled").join(rest, "settled")
     best = found.groupBy("form").agg(F.min(F.struct("edits", (-F.col("jaccard")).alias("far"), "id")).alias("b")).select("form", F.col("b.id").alias("id"))
     verdict = cut(equal.select("form", "id").unionByName(best))
     return skew_join(typed, verdict, "form", "left").select("key", F.coalesce("id", F.lit("NIL")).alias("id")).distinct()
