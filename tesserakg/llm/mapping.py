@@ -4,7 +4,7 @@ Names are first brought to one form: width, case, accents, look-alike letters of
 typed for letters, quotes, possessives, articles and abbreviated kind words; the words are sorted. Words that
 many listed names share (kinds: Bank, University ...) are recognised despite typing errors. Every distinct form is then a
 set of its kind words and, of its other words, the letters and letter pairs (with occurrence numbers). Sets are ordered by global rarity; only their rare
-prefixes are joined, under length and positional filters; candidates are verified by their exact Jaccard similarity and
+prefixes are joined, under length and positional filters (prefixes long enough for COMMON shared tokens); candidates are verified by their exact Jaccard similarity and
 the edits between the forms, and the best one is kept. Forms without a partner are reported as unmatched.
 
 Equal forms meet by an equality join beforehand. Tokens that many prefixes share are salted, and the verdict on a form goes
@@ -21,6 +21,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import permutations
 
 import numpy as np
@@ -32,6 +33,8 @@ from tesserakg.runtime import cut, heavy_keys, map_arrow, skew_join
 
 #: Least Jaccard similarity; cells of the hashed token counts; salts of a token that more than 1/1000 of the prefix rows have.
 LEAST, CELLS, SALTS = 0.45, 1 << 18, 32
+#: Tokens that the prefixes of a pair must share; the prefixes are as much longer, so no similar pair is lost.
+COMMON = 5
 #: A word is a kind if more than one in KIND listed names has it: at most KIND times the words of a name, whatever the size.
 KIND = 200
 #: Names of up to so many words are compared in every order of them; longer ones in the sorted order only.
@@ -83,6 +86,11 @@ def tokens(f: str, kinds: frozenset[str] = frozenset()) -> list[str]:
     return out
 
 
+@lru_cache(200_000)
+def _set(f: str, kinds: frozenset[str]) -> frozenset[str]:
+    return frozenset(tokens(f, kinds))
+
+
 def settled(f: str, kinds: frozenset[str]) -> str:
     """The form with its mistyped kind words in order."""
     out = []
@@ -122,7 +130,7 @@ def allowed(a: str, b: str) -> int:
 def closeness(a: str, b: str, kinds: frozenset[str] = frozenset(), least: float = 0.0) -> tuple[float, int]:
     """Exact Jaccard similarity of the token sets, and the least edits in any order of the second one's words (at most
     WORDS of them), also where one of the two is written without blanks."""
-    x, y = set(tokens(a, kinds)), set(tokens(b, kinds))
+    x, y = _set(a, kinds), _set(b, kinds)
     jaccard, most = len(x & y) / max(1, len(x | y)), allowed(a, b)
     if jaccard < least:
         return jaccard, most + 1
@@ -189,7 +197,7 @@ def _prefixes(shared, least: float):
             for f in batch.column(0).to_pylist():
                 ordered = sorted(set(tokens(f, kinds)), key=lambda t: (counts[_cell(t)], t))
                 n = len(ordered)
-                keep = n - int(np.ceil(least * n - 1e-9)) + 1
+                keep = n - int(np.ceil(least * n - 1e-9)) + COMMON
                 rows += [(t, f, n, i) for i, t in enumerate(ordered[:keep])]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int32()))], ["token", "form", "size", "place"])
 
@@ -234,7 +242,8 @@ def similar_forms(left: DataFrame, right: DataFrame, least: float = LEAST, kinds
     needed = F.ceil(F.lit(least / (1 + least)) * (F.col("size") + F.col("name_size")) - 1e-9)
     left_over = 1 + F.least(F.col("size") - F.col("place"), F.col("name_size") - F.col("name_place")) - 1 + F.least("place", "name_place")
     near = (F.col("size") >= least * F.col("name_size")) & (F.col("name_size") >= least * F.col("size")) & (left_over >= needed)
-    pairs = a.join(b, ["token", "salt"]).filter(near).select("form", "name").distinct()
+    met = a.join(b, ["token", "salt"]).filter(near).groupBy("form", "name").agg(F.count("*").alias("n"), F.first(F.ceil(F.lit(least) * F.least("size", "name_size") - 1e-9)).alias("least_overlap"))
+    pairs = met.filter(F.col("n") >= F.least(F.lit(COMMON), "least_overlap")).select("form", "name")
     return map_arrow(pairs, _verify(kinds, least), "form string, name string, jaccard double, edits int")
 
 
