@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesserakg.plans import record_queries
+from tesserakg.plans import candidate_queries, kg_queries, record_queries
 
-MODULES = [record_queries]
+MODULES = [record_queries, kg_queries, candidate_queries]
 
 
 def queries() -> dict:
