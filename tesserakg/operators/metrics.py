@@ -60,24 +60,24 @@ def cluster_metrics(table: DataFrame, by: list[str] | None = None) -> DataFrame:
     d = lambda c: F.col(c).cast("double")
     a = t.groupBy(*by, "gold").agg(F.sum("n").alias("a"), F.count("*").alias("parts"))
     b = t.groupBy(*by, "pred").agg(F.sum("n").alias("b"), F.count("*").alias("parts"))
-    total = t.groupBy(*by).agg(F.sum("n").alias("N"))
-    gold = a.join(F.broadcast(total), by).groupBy(*by).agg(F.sum(d("a") * d("a")).alias("aa"), (-F.sum(d("a") / d("N") * F.log(d("a") / d("N")))).alias("h_gold"), F.sum(F.col("a") - F.col("parts")).alias("muc_r"), F.sum(F.col("a") - 1).alias("muc_rd"), F.count("*").alias("n_gold"))
-    pred = b.join(F.broadcast(total), by).groupBy(*by).agg(F.sum(d("b") * d("b")).alias("bb"), (-F.sum(d("b") / d("N") * F.log(d("b") / d("N")))).alias("h_pred"), F.sum(F.col("b") - F.col("parts")).alias("muc_p"), F.sum(F.col("b") - 1).alias("muc_pd"), F.count("*").alias("n_pred"))
+    total = t.groupBy(*by).agg(F.sum("n").alias("total"))
+    gold = a.join(F.broadcast(total), by).groupBy(*by).agg(F.sum(d("a") * d("a")).alias("aa"), (-F.sum(d("a") / d("total") * F.log(d("a") / d("total")))).alias("h_gold"), F.sum(F.col("a") - F.col("parts")).alias("muc_r"), F.sum(F.col("a") - 1).alias("muc_rd"), F.count("*").alias("n_gold"))
+    pred = b.join(F.broadcast(total), by).groupBy(*by).agg(F.sum(d("b") * d("b")).alias("bb"), (-F.sum(d("b") / d("total") * F.log(d("b") / d("total")))).alias("h_pred"), F.sum(F.col("b") - F.col("parts")).alias("muc_p"), F.sum(F.col("b") - 1).alias("muc_pd"), F.count("*").alias("n_pred"))
     cells = t.join(a.select(*by, "gold", "a"), [*by, "gold"]).join(b.select(*by, "pred", "b"), [*by, "pred"]).join(F.broadcast(total), by)
-    inner = cells.groupBy(*by).agg(F.first("N").alias("N"), F.sum(d("n") * d("n")).alias("nn"), F.sum(d("n") / d("N") * F.log(d("N") * d("n") / (d("a") * d("b")))).alias("mi"), F.sum(d("n") * d("n") / d("b")).alias("b3p"), F.sum(d("n") * d("n") / d("a")).alias("b3r"))
+    inner = cells.groupBy(*by).agg(F.first("total").alias("total"), F.sum(d("n") * d("n")).alias("nn"), F.sum(d("n") / d("total") * F.log(d("total") * d("n") / (d("a") * d("b")))).alias("mi"), F.sum(d("n") * d("n") / d("b")).alias("b3p"), F.sum(d("n") * d("n") / d("a")).alias("b3r"))
     s = inner.join(gold, by).join(pred, by)
     col = F.col
-    tp, fp, fn = col("nn") - col("N"), col("bb") - col("nn"), col("aa") - col("nn")
-    tn = col("N") * col("N") - fp - fn - col("nn")
+    tp, fp, fn = col("nn") - col("total"), col("bb") - col("nn"), col("aa") - col("nn")
+    tn = col("total") * col("total") - fp - fn - col("nn")
     s = s.withColumn("tp", tp).withColumn("fp", fp).withColumn("fn", fn).withColumn("tn", tn)
     bottom = (col("tp") + col("fn")) * (col("fn") + col("tn")) + (col("tp") + col("fp")) * (col("fp") + col("tn"))
     ari = F.when((col("fn") == 0) & (col("fp") == 0), 1.0).otherwise(2 * (col("tp") * col("tn") - col("fn") * col("fp")) / F.nullif(bottom, F.lit(0.0)))
     nmi = F.when((col("n_gold") == 1) & (col("n_pred") == 1), 1.0).otherwise(col("mi") / F.nullif((col("h_gold") + col("h_pred")) / 2, F.lit(0.0)))
     s = s.withColumn("ari", ari).withColumn("nmi", nmi)
-    p3, r3 = col("b3p") / col("N"), col("b3r") / col("N")
+    p3, r3 = col("b3p") / col("total"), col("b3r") / col("total")
     mp, mr = _share(col("muc_p"), col("muc_pd")), _share(col("muc_r"), col("muc_rd"))
     return s.select(
-        *by, "N", "n_gold", "n_pred", *(col(x).cast("long").alias(x) for x in ("tp", "fp", "fn", "tn")), _r(col("ari")).alias("ari"), _r(col("nmi")).alias("nmi"),
+        *by, F.col("total").alias("n_rows"), "n_gold", "n_pred", *(col(x).cast("long").alias(x) for x in ("tp", "fp", "fn", "tn")), _r(col("ari")).alias("ari"), _r(col("nmi")).alias("nmi"),
         _r(F.when(col("ari") + col("nmi") > 0, 2 * col("ari") * col("nmi") / (col("ari") + col("nmi"))).otherwise(0.0)).alias("ari_nmi_f1"),
         _r(p3).alias("b3_precision"), _r(r3).alias("b3_recall"), _r(f_measure(p3, r3)).alias("b3_f1"), _r(mp).alias("muc_precision"), _r(mr).alias("muc_recall"), _r(f_measure(mp, mr)).alias("muc_f1"),
     )
@@ -167,9 +167,9 @@ def ceaf(table: DataFrame, components) -> DataFrame:  # noqa: ANN001
     wide = table.join(a, "gold").join(b, "pred")
     m = assignments(table, components).agg(F.sum("n").alias("m"))
     e = assignments(wide, components, 2 * F.col("n") / (F.col("a") + F.col("b"))).agg(F.sum("w").alias("e"))
-    s = table.agg(F.sum("n").alias("N"), F.count_distinct("gold").alias("n_gold"), F.count_distinct("pred").alias("n_pred")).crossJoin(m).crossJoin(e)
+    s = table.agg(F.sum("n").alias("total"), F.count_distinct("gold").alias("n_gold"), F.count_distinct("pred").alias("n_pred")).crossJoin(m).crossJoin(e)
     p, r = F.try_divide("e", "n_pred"), F.try_divide("e", "n_gold")
-    return s.select(_r(F.try_divide("m", "N")).alias("ceaf_m"), _r(p).alias("ceaf_e_precision"), _r(r).alias("ceaf_e_recall"), _r(f_measure(p, r)).alias("ceaf_e_f1"))
+    return s.select(_r(F.try_divide("m", "total")).alias("ceaf_m"), _r(p).alias("ceaf_e_precision"), _r(r).alias("ceaf_e_recall"), _r(f_measure(p, r)).alias("ceaf_e_f1"))
 
 
 def ookg_prf(decisions: DataFrame, components) -> DataFrame:  # noqa: ANN001

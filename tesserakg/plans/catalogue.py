@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesserakg.plans import candidate_queries, kg_queries, record_queries
+from tesserakg.plans import candidate_queries, cluster_queries, dataset_queries, kg_queries, record_queries
 
-MODULES = [record_queries, kg_queries, candidate_queries]
+MODULES = [record_queries, kg_queries, candidate_queries, dataset_queries, cluster_queries]
 
 
 def queries() -> dict:
