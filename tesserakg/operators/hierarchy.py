@@ -37,7 +37,7 @@ def _double(p: DataFrame) -> tuple[DataFrame, int]:
     left = p.filter(~F.col("done")).count()
     while left:
         hop = p.select(F.col("node").alias("target"), F.col("target").alias("next"), F.col("seg").alias("more"), F.col("done").alias("ends"))
-        moved = p.filter(~F.col("done")).join(hop, "target").select("node", F.col("next").alias("target"), F.concat("seg", "more").alias("seg"), F.col("ends").alias("done"))
+        moved = skew_join(p.filter(~F.col("done")), hop, "target").select("node", F.col("next").alias("target"), F.concat("seg", "more").alias("seg"), F.col("ends").alias("done"))
         stepped = cut(p.filter("done").unionByName(moved))
         now = stepped.filter(~F.col("done")).count()
         if now == left:
@@ -53,7 +53,7 @@ def _cycles(base: DataFrame, n: int) -> DataFrame:
     q, covered = cut(base), 1
     while covered < n:
         hop = q.select(F.col("node").alias("target"), F.col("target").alias("next"), F.col("low").alias("low_"))
-        before, q = q, cut(q.join(hop, "target").select("node", F.col("next").alias("target"), F.least("low", "low_").alias("low")))
+        before, q = q, cut(skew_join(q, hop, "target").select("node", F.col("next").alias("target"), F.least("low", "low_").alias("low")))
         drop(before)
         covered *= 2
     on = q.select(F.col("target")).distinct().join(q.select(F.col("node").alias("target"), F.col("low").alias("root")), "target")
@@ -65,13 +65,14 @@ def hierarchy(edges: DataFrame, nodes: DataFrame, split: int = SPLIT) -> DataFra
 
     edges: ``child, parent``; nodes: ``id``, further nodes that may have no link.
     """
-    link = cut(edges.filter((F.col("child") != "") & (F.col("parent") != "")).groupBy("child").agg(F.min("parent").alias("parent")))
-    parents = edges.filter((F.col("child") != "") & (F.col("parent") != "")).select(F.col("parent").alias("id")).distinct()
+    edges = cut(edges.filter((F.col("child") != "") & (F.col("parent") != "")))
+    link = cut(edges.groupBy("child").agg(F.min("parent").alias("parent")))
+    parents = cut(edges.select(F.col("parent").alias("id")).distinct())
     splitter = F.pmod(F.xxhash64("target"), F.lit(split)) == 0
     # inner nodes are parents themselves; with the parent's own parent it is known whether the walk ends there
     inner = link.join(parents, link["child"] == parents["id"], "left_semi")
     above = link.select(F.col("child").alias("target"), F.lit(True).alias("has_parent"))
-    first = cut(inner.select(F.col("child").alias("node"), F.col("parent").alias("target")).join(above, "target", "left").select("node", "target", F.array("node").alias("seg"), F.col("has_parent").isNull().alias("at_root"), (splitter | F.col("has_parent").isNull()).alias("done")))
+    first = cut(skew_join(inner.select(F.col("child").alias("node"), F.col("parent").alias("target")), above, "target", "left").select("node", "target", F.array("node").alias("seg"), F.col("has_parent").isNull().alias("at_root"), (splitter | F.col("has_parent").isNull()).alias("done")))
     ends = first.select("target", "at_root").distinct()
     walked, open_ = _double(first.drop("at_root"))
     walked_done = walked.filter("done")
@@ -102,7 +103,7 @@ def hierarchy(edges: DataFrame, nodes: DataFrame, split: int = SPLIT) -> DataFra
         .unionByName(looped.select(F.col("node").alias("target"), F.col("root").alias("root_id"), no_path.alias("above_path")))
         .unionByName(rings.select(F.col("node").alias("target"), F.col("root").alias("root_id"), no_path.alias("above_path")))
     )
-    placed = walked_done.join(stops, "target").select(F.col("node").alias("id"), "root_id", F.when(F.col("above_path").isNotNull(), F.concat("above_path", F.reverse("seg"))).alias("path"))
+    placed = skew_join(walked_done, cut(stops), "target").select(F.col("node").alias("id"), "root_id", F.when(F.col("above_path").isNotNull(), F.concat("above_path", F.reverse("seg"))).alias("path"))
     inner_all = cut(
         placed.unionByName(looped.select(F.col("node").alias("id"), F.col("root").alias("root_id"), no_path.alias("path")))
         .unionByName(roots.select("id", F.col("id").alias("root_id"), F.array("id").alias("path")))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserakg.runtime import heavy_keys, iso_day, item_id
+from tesserakg.runtime import cut, heavy_keys, iso_day, item_id, skew_join
 
 
 def mention_references(events: DataFrame) -> DataFrame:
@@ -45,25 +45,30 @@ def orphan_keys(refs: DataFrame, facts: DataFrame) -> DataFrame:
     """Orphaned ``qid, day`` with their kind and number of references.
 
     References are first counted per id and day, so a hot id is at most one row per day afterwards. Heavy ids (at most
-    a fixed number, see ``heavy_keys``) are checked by broadcast, all others by a shuffled join; the halves are united.
+    a fixed number, see ``heavy_keys``) are checked by broadcast; of all others the missing ones are what an anti-join with the
+    known ids leaves, and the dated ones are held against their days; the parts are united.
     """
     counts = refs.groupBy("qid", "day", "period_ym").agg(F.count("*").alias("n_refs"))
     heavy = F.broadcast(heavy_keys(refs, "qid").withColumn("heavy", F.lit(True)))
     tagged = counts.join(heavy, "qid", "left")
     few = facts.join(heavy, "qid", "left_semi")
-    hot = tagged.filter("heavy").join(F.broadcast(few), "qid", "left")
-    rest = tagged.filter("heavy is null").join(facts, "qid", "left")
-    return hot.unionByName(rest).withColumn("orphan_kind", _kind()).filter(F.col("orphan_kind").isNotNull()).select("qid", "day", "period_ym", "orphan_kind", "n_refs")
+    hot = tagged.filter("heavy").join(F.broadcast(few), "qid", "left").withColumn("orphan_kind", _kind())
+    rest = tagged.filter("heavy is null")
+    missing = rest.join(facts.filter("known").select("qid"), "qid", "left_anti").withColumn("orphan_kind", F.lit("missing"))
+    dated = rest.join(facts.filter("known and (created is not null or deleted is not null)"), "qid").withColumn("orphan_kind", _kind())
+    out = ["qid", "day", "period_ym", "orphan_kind", "n_refs"]
+    return hot.select(*out).unionByName(missing.select(*out)).unionByName(dated.select(*out)).filter(F.col("orphan_kind").isNotNull())
 
 
 def orphan_rows(refs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Every orphaned reference with its kind; the verdict is taken per id and day and handed back to the rows."""
-    verdicts = orphan_keys(refs, facts).select("qid", "day", "orphan_kind").withColumn("day_key", F.coalesce(F.col("day").cast("string"), F.lit(""))).drop("day")
-    rows = refs.withColumn("day_key", F.coalesce(F.col("day").cast("string"), F.lit("")))
-    return rows.join(verdicts, ["qid", "day_key"]).select("docno", "pos", "qid", "orphan_kind", "period_ym")
+    """Every orphaned reference with its kind; the verdict is taken per id and day and handed back by a join split by weight."""
+    refs, facts = cut(refs), cut(facts)
+    key = F.concat_ws("|", "qid", "day")
+    verdicts = orphan_keys(refs, facts).select(key.alias("key"), "orphan_kind")
+    return skew_join(refs.withColumn("key", key), cut(verdicts), "key").select("docno", "pos", "qid", "orphan_kind", "period_ym")
 
 
 def orphan_report(refs: DataFrame, facts: DataFrame, table_name: str) -> DataFrame:
     """Orphans per table, period and kind: references and distinct ids."""
-    per_key = orphan_keys(refs, facts).groupBy("period_ym", "orphan_kind", "qid").agg(F.sum("n_refs").alias("n"))
+    per_key = orphan_keys(cut(refs), cut(facts)).groupBy("period_ym", "orphan_kind", "qid").agg(F.sum("n_refs").alias("n"))
     return per_key.groupBy("period_ym", "orphan_kind").agg(F.sum("n").alias("n_refs"), F.count("*").alias("n_ids")).select(F.lit(table_name).alias("table_name"), "period_ym", "orphan_kind", "n_refs", "n_ids")

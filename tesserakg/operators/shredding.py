@@ -11,7 +11,7 @@ Rows that share a key are taken as copies of one record.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,33 +89,39 @@ def shred(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.explode(F.concat(*parts)).alias("n")).select("key", "n.*")
 
 
-def entities(nodes: DataFrame, labels: dict[str, str]) -> DataFrame:
-    """Object nodes joined with their scalar children, pivoted: one row per element, a column per label asked for."""
-    wide = (
-        nodes.filter(F.col("node").isNull() & F.col("label").isin(list(labels)))
-        .groupBy("key", F.col("parent").alias("node"))
-        .agg(*(F.max(F.when(F.col("label") == label, F.col("scalar"))).alias(name) for label, name in labels.items()))
+def elements(nodes: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """Object nodes joined with their scalar children, pivoted: one row per element, a column per label asked for.
+
+    An object node and its scalars share the key and the path of the element, so one grouping by both is the join and the
+    pivot at once: a single pass over the adjacency table. Elements without any of the scalars keep a row of nulls.
+    """
+    own = F.col("node").isNotNull()
+    wide = nodes.groupBy("key", F.coalesce("node", "parent").alias("node")).agg(
+        F.max(F.when(own, F.struct("parent", "label", "ordinal"))).alias("object"),
+        *(F.max(F.when(~own & (F.col("label") == label), F.col("scalar"))).alias(name) for label, name in labels.items()),
     )
-    a = nodes.filter(F.col("node").isNotNull()).select("key", "node", "parent", "label", "ordinal").alias("a")
-    b = wide.alias("b")
-    return a.join(b, F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.node") == F.col("b.node"))).select("a.*", *(f"b.{x}" for x in labels.values()))
+    return wide.filter(F.col("object").isNotNull()).select("key", "node", "object.*", *labels.values())
 
 
 def record_children(records: DataFrame, key: str = "line_no") -> DataFrame:
     """The children of knowledge-graph records: labels, aliases, claims and the qualifiers of claims.
 
-    ``key, child_kind, child_name, pos, sub_pos, child_value``, distinct rows; see the module for nulls.
+    ``key, child_kind, child_name, pos, sub_pos, child_value``, distinct rows; see the module for nulls. The records are
+    scanned once; a qualifier gets its statement's name and place within the group of the statement's path.
     """
-    nodes = shred(records, key, ["labels", "aliases", "claims"])
-    found = entities(
-        nodes,
+    found = elements(
+        shred(records, key, ["labels", "aliases", "claims"]),
         {"value": "text", "mainsnak.snaktype": "main_type", "mainsnak.datavalue.value.id": "main_id", "snaktype": "qual_type", "datavalue.value.id": "qual_id"},
     )
-    row = lambda kind, name, pos, sub, value: (F.lit(kind).alias("child_kind"), F.col(name).alias("child_name"), F.col(pos).cast("int").alias("pos"), sub.cast("int").alias("sub_pos"), F.col(value).alias("child_value"))
-    texts = found.filter(F.col("parent").isin("labels", "aliases") & (F.col("text") != ""))
-    texts = texts.select("key", F.when(F.col("parent") == "labels", "label").otherwise("alias").alias("child_kind"), F.col("label").alias("child_name"), F.col("ordinal").alias("pos"), F.lit(-1).alias("sub_pos"), F.col("text").alias("child_value"))
-    claims = found.filter((F.col("parent") == "claims") & (F.col("main_type") == "value") & (F.col("main_id") != "")).select("key", *row("claim", "label", "ordinal", F.lit(-1), "main_id"))
-    q = found.filter((F.col("label") == "qualifiers") & F.col("parent").startswith("claims.") & (F.col("qual_type") == "value") & (F.col("qual_id") != "")).select("key", F.col("parent").alias("owner"), F.col("ordinal").alias("sub"), "qual_id").alias("q")
-    s = nodes.filter((F.col("parent") == "claims") & F.col("node").isNotNull()).select("key", "node", "label", "ordinal").alias("s")
-    quals = q.join(s, F.col("q.key").eqNullSafe(F.col("s.key")) & (F.col("q.owner") == F.col("s.node"))).select("q.key", *row("qualifier", "label", "ordinal", F.col("sub"), "qual_id"))
-    return texts.unionByName(claims).unionByName(quals).distinct().withColumnRenamed("key", key)
+    # every element is one child at most; only qualifiers look beyond their own row
+    is_text, is_claim, is_qual = F.col("parent").isin("labels", "aliases"), F.col("parent") == "claims", (F.col("label") == "qualifiers") & F.col("parent").startswith("claims.")
+    group = Window.partitionBy("key", F.when(is_qual, F.col("parent")).otherwise(F.col("node")))
+    owner = F.max(F.when(is_claim, F.struct("label", "ordinal"))).over(group)
+    rows = found.filter(is_text | is_claim | is_qual).withColumn("owner", owner)
+    item = lambda kind, value: (F.col(kind) == "value") & (F.col(value) != "")
+    kind = F.when(is_text & (F.col("text") != ""), F.when(F.col("parent") == "labels", "label").otherwise("alias")).when(is_claim & item("main_type", "main_id"), "claim").when(is_qual & item("qual_type", "qual_id"), "qualifier")
+    rows = rows.withColumn("child_kind", kind).filter(F.col("child_kind").isNotNull())
+    at = lambda c: F.when(is_qual, F.col(f"owner.{c}")).otherwise(F.col(c))
+    value = F.when(is_text, F.col("text")).when(is_claim, F.col("main_id")).otherwise(F.col("qual_id"))
+    sub = F.when(is_qual, F.col("ordinal")).otherwise(F.lit(-1)).cast("int")
+    return rows.select("key", "child_kind", at("label").alias("child_name"), at("ordinal").cast("int").alias("pos"), sub.alias("sub_pos"), value.alias("child_value")).distinct().withColumnRenamed("key", key)

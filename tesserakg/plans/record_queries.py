@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity table of the statements: rank and main snak of every statement, whatever its kind."""
     nodes = S.shred(table(spark, sf_dir, "parse_wikidata_dump"), "line_no", ["claims"])
-    found = S.entities(nodes, {"rank": "rank", "mainsnak.snaktype": "snaktype", "mainsnak.property": "property"})
+    found = S.elements(nodes, {"rank": "rank", "mainsnak.snaktype": "snaktype", "mainsnak.property": "property"})
     return found.filter(F.col("parent") == "claims").select(F.col("key").alias("line_no"), F.col("label").alias("claim_name"), F.col("ordinal").alias("pos"), "rank", "snaktype", "property").distinct()
 
 
@@ -60,9 +60,12 @@ with refs as (
   select distinct docno, (i - 1)::int as pos, 'Q' || (regexp_extract(e.qid, '[Qq]\\s*0*([0-9]+)\\s*$', 1)) as qid, event_date as day,
          coalesce(strftime(event_date, '%Y-%m'), 'none') as period_ym
   from (select docno, event_date, unnest(entities) as e, generate_subscripts(entities, 1) as i from wikievents_train)
-  where e.qid is not null and not coalesce(e.out_of_kg, false) and regexp_matches(e.qid, '[Qq]\\s*0*([0-9]+)\\s*$')),
-known as (select id from parse_wikidata_dump union select id from parsed_dump),
-days as (select qid, min(try_cast(substr(created, 1, 10) as date)) as created, min(try_cast(substr(deleted, 1, 10) as date)) as deleted from creation_dates group by qid),
+  where e.qid is not null and not coalesce(e.out_of_kg, false) and regexp_matches(e.qid, '(?:^|[^A-Za-z0-9])[Qq]\\s*0*[0-9]+\\s*$')),
+nk as (select id from parse_wikidata_dump union select id from parsed_dump),
+known as (select distinct 'Q' || regexp_extract(id, '[Qq]\\s*0*([0-9]+)\\s*$', 1) as id from nk where regexp_matches(id, '(?:^|[^A-Za-z0-9])[Qq]\\s*0*[0-9]+\\s*$')),
+nd as (select 'Q' || regexp_extract(qid, '[Qq]\\s*0*([0-9]+)\\s*$', 1) as qid, case when regexp_matches(created, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$') then try_cast(substr(created, 1, 10) as date) end as created,
+  case when regexp_matches(deleted, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$') then try_cast(substr(deleted, 1, 10) as date) end as deleted from creation_dates where regexp_matches(qid, '(?:^|[^A-Za-z0-9])[Qq]\\s*0*[0-9]+\\s*$')),
+days as (select qid, min(created) as created, min(deleted) as deleted from nd group by qid),
 rows_ as (select r.*, case when k.id is null then 'missing' when d.deleted <= r.day then 'deleted' when d.created > r.day then 'later' end as orphan_kind
   from refs r left join known k on k.id = r.qid left join days d on d.qid = r.qid)
 """
@@ -96,8 +99,7 @@ union select line_no, 'qualifier', k, i::int, j::int, q.datavalue.value.id from
     "p1_statements": """
 with ce as (select line_no, unnest(map_entries(claims)) as e from parse_wikidata_dump),
 cs as (select line_no, e.key as k, unnest(e.value) as s, generate_subscripts(e.value, 1) - 1 as i from ce)
-select distinct line_no, k as claim_name, i::int as pos, s.rank as rank, s.mainsnak.snaktype as snaktype, s.mainsnak.property as property from cs
-where s.rank is not null or s.mainsnak.snaktype is not null or s.mainsnak.property is not null
+select distinct line_no, k as claim_name, i::int as pos, s.rank as rank, s.mainsnak.snaktype as snaktype, s.mainsnak.property as property from cs where s is not null
 """,
     "p4_found": _P4 + "select docno, pos, qid, orphan_kind, period_ym from rows_ where orphan_kind is not null",
     "p4_by_period": _P4 + "select 'wikievents_train' as table_name, period_ym, orphan_kind, count(*) as n_refs, count(distinct qid) as n_ids from rows_ where orphan_kind is not null group by period_ym, orphan_kind",
