@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserakg.runtime import cut, skew_join
+from tesserakg.runtime import cut, drop, map_arrow, skew_join
 
 #: Edges that one task may hold: 16 bytes each, some five times that while they are worked on.
 BOUND = 4_000_000
@@ -52,22 +52,26 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The forest of a partition; whenever BOUND edges have gathered, they are reduced before more are read."""
-    a, b, held = [], [], 0
-    for batch in batches:
-        a.append(batch.column(0).to_numpy(zero_copy_only=False))
-        b.append(batch.column(1).to_numpy(zero_copy_only=False))
-        held += batch.num_rows
-        if held >= BOUND:
+def _forests(bound: int):
+    """The forest of a partition; whenever more than ``bound`` edges have gathered, they are reduced before more are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, held = [], [], 0
+        for batch in batches:
+            a.append(batch.column(0).to_numpy(zero_copy_only=False))
+            b.append(batch.column(1).to_numpy(zero_copy_only=False))
+            held += batch.num_rows
+            if held > bound:
+                x, y = forest(np.concatenate(a), np.concatenate(b))
+                if len(x) > bound // 2:  # hardly smaller: hand it on, so that memory stays bounded
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+                    x, y = x[:0], y[:0]
+                a, b, held = [x], [y], len(x)
+        if held:
             x, y = forest(np.concatenate(a), np.concatenate(b))
-            if len(x) > BOUND // 2:  # hardly smaller: hand it on, so that memory stays bounded
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
-                x, y = x[:0], y[:0]
-            a, b, held = [x], [y], len(x)
-    if held:
-        x, y = forest(np.concatenate(a), np.concatenate(b))
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+    return run
 
 
 def links(pairs: DataFrame) -> DataFrame:
@@ -76,13 +80,13 @@ def links(pairs: DataFrame) -> DataFrame:
     return good.select(F.least("a_id", "b_id").cast("long").alias("a"), F.greatest("a_id", "b_id").cast("long").alias("b"))
 
 
-def _merged(local: DataFrame, parts: int, fan_in: int) -> DataFrame:
-    """Forests of FAN_IN neighbouring partitions in one, as a forest again."""
-    grouped = local.withColumn("p", F.floor(F.spark_partition_id() / fan_in)).repartition(parts, "p").select("a", "b")
-    return grouped.mapInArrow(_forests, _EDGES)
+def _merged(local: DataFrame, parts: int, fan_in: int, bound: int) -> DataFrame:
+    """Forests of ``fan_in`` neighbouring partitions in one, as a forest again; every group has a partition of its own."""
+    grouped = local.withColumn("p", F.floor(F.spark_partition_id() / fan_in).cast("int")).repartitionById(parts, "p").select("a", "b")
+    return map_arrow(grouped, _forests(bound), _EDGES)
 
 
-def _contract(local: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+def _contract(local: DataFrame, turn: int, bound: int) -> tuple[DataFrame, DataFrame]:
     """Pointers ``node, up`` of the nodes that leave the graph, and the forest edges of what is left.
 
     By a hash every node is a head or a tail this turn; a tail points to its least head, and its edges move there.
@@ -90,30 +94,36 @@ def _contract(local: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     head = lambda c: F.pmod(F.xxhash64(F.lit(turn), c), F.lit(2)) == 1
     both = local.select("a", "b").unionByName(local.select(F.col("b").alias("a"), F.col("a").alias("b")))
     up = cut(both.filter(~head("a") & head("b")).groupBy("a").agg(F.min("b").alias("b")).toDF("node", "up"))
-    moved = local
+    moved, made = local, []
     for c in ("a", "b"):
-        moved = skew_join(moved, up.withColumnsRenamed({"node": c, "up": "up_"}), c, "left").withColumn(c, F.coalesce("up_", c)).drop("up_")
+        moved = cut(skew_join(moved, up.withColumnsRenamed({"node": c, "up": "up_"}), c, "left").withColumn(c, F.coalesce("up_", c)).drop("up_"))
+        made.append(moved)
     kept = moved.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return up, cut(kept.mapInArrow(_forests, _EDGES))
+    out = cut(map_arrow(kept, _forests(bound), _EDGES))
+    drop(*made)
+    return up, out
 
 
 def components(edges: DataFrame, bound: int = BOUND, fan_in: int = FAN_IN) -> DataFrame:
     """``node, root`` of every node of the edges ``a, b``; root is the least node of its component."""
-    local, pointers = cut(edges.select("a", "b").mapInArrow(_forests, _EDGES)), []
-    n, parts = local.count(), local.rdd.getNumPartitions()
+    local, pointers = cut(map_arrow(edges.select("a", "b"), _forests(bound), _EDGES)), []
+    n, parts = local.count(), max(1, local.rdd.getNumPartitions())
     while n > bound:
-        before = n
+        before, old = n, local
         if parts > 1 and n <= bound * -(-parts // fan_in):
-            parts = -(-parts // fan_in)
-            local = cut(_merged(local, parts, fan_in))
-            n = local.count()
+            local = cut(_merged(local, -(-parts // fan_in), fan_in, bound))
+            drop(old)
+            n, parts, old = local.count(), max(1, local.rdd.getNumPartitions()), local
         if n > bound and n > 0.7 * before:
-            up, local = _contract(local, len(pointers))
+            up, local = _contract(local, len(pointers), bound)
+            drop(old)
             pointers.append(up)
-            n, parts = local.count(), local.rdd.getNumPartitions()
-    while parts > 1:
+            n, parts = local.count(), max(1, local.rdd.getNumPartitions())
+    while True:  # at least once, since a partition may have handed on several partial forests
         parts = -(-parts // fan_in)
-        local = _merged(local, parts, fan_in)
+        local = _merged(local, parts, fan_in, bound)
+        if parts == 1:
+            break
     last = cut(local).toDF("node", "root")
     top = last.unionByName(last.select(F.col("root").alias("node"), "root").distinct())
     for up in reversed(pointers):
