@@ -121,20 +121,22 @@ def descendants(paths: DataFrame) -> DataFrame:
     return paths.filter(F.col("path").isNotNull()).select(F.col("id").alias("descendant_id"), up.alias("a")).select("a.id", "descendant_id", "a.distance")
 
 
-def looped_descendants(edges: DataFrame, paths: DataFrame) -> DataFrame:
-    """``id, descendant_id, distance`` between the nodes in and below cycles, by doubled steps up the same links as the paths.
+def all_descendants(edges: DataFrame) -> DataFrame:
+    """``id, descendant_id, distance`` over all links, those of further parents included, with the least number of links.
 
-    distance is the least number of links; every member of a cycle is an ancestor of all other members and of all nodes
-    below the cycle, once each; no node is its own descendant.
+    Steps up are doubled until nothing is shorter any more; every member of a cycle is an ancestor of all other members and of
+    all nodes below the cycle, once each; no node is its own descendant.
     """
-    lost = paths.filter(F.col("path").isNull()).select(F.col("id").alias("child"))
-    link = edges.filter((F.col("child") != "") & (F.col("parent") != "")).groupBy("child").agg(F.min("parent").alias("parent")).join(lost, "child", "left_semi")
-    jump = cut(link.select(F.col("child").alias("node"), F.col("parent").alias("up")))
-    pairs = cut(jump.select(F.col("up").alias("id"), F.col("node").alias("descendant_id"), F.lit(1).alias("distance")))
-    step, n, before = 1, pairs.count(), 0
-    while n > before:
-        further = jump.join(pairs.withColumnRenamed("descendant_id", "up"), "up").select("id", F.col("node").alias("descendant_id"), (F.col("distance") + step).alias("distance"))
-        pairs = cut(pairs.unionByName(further).groupBy("id", "descendant_id").agg(F.min("distance").alias("distance")))
-        jump = cut(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up")))
-        step, n, before = 2 * step, pairs.count(), n
-    return pairs.filter("id != descendant_id")
+    pairs = cut(edges.filter((F.col("child") != "") & (F.col("parent") != "")).select(F.col("parent").alias("id"), F.col("child").alias("descendant_id"), F.lit(1).alias("distance")).distinct())
+    mark = None
+    while True:
+        upper = pairs.select(F.col("descendant_id").alias("mid"), "id", F.col("distance").alias("d1"))
+        lower = pairs.select(F.col("id").alias("mid"), "descendant_id", F.col("distance").alias("d2"))
+        further = upper.join(lower, "mid").select("id", "descendant_id", (F.col("d1") + F.col("d2")).alias("distance"))
+        grown = cut(pairs.unionByName(further).groupBy("id", "descendant_id").agg(F.min("distance").alias("distance")))
+        now = tuple(grown.agg(F.count("*"), F.sum(F.col("distance").cast("long"))).first())
+        drop(pairs)
+        pairs = grown
+        if now == mark:
+            return pairs.filter("id != descendant_id")
+        mark = now

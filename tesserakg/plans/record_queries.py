@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesserakg.operators import hierarchy as H
 from tesserakg.operators import references as R
 from tesserakg.operators import shredding as S
-from tesserakg.runtime import cut, table
+from tesserakg.runtime import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +48,8 @@ def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_descendants_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p5_descendants, and the pairs between classes in or below cycles."""
-    edges, paths = cut(H.class_edges(table(spark, sf_dir, "parse_wikidata_dump"))), cut(_classes(spark, sf_dir))
-    return H.descendants(paths).unionByName(H.looped_descendants(edges, paths))
+    """All pairs over all links: further parents' ones, and those between classes in or below cycles, too."""
+    return H.all_descendants(H.class_edges(table(spark, sf_dir, "parse_wikidata_dump")))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_statements, p4_found, p4_by_period, p5_found, p5_descendants, p5_descendants_all)}
@@ -108,10 +107,8 @@ select id, path[1] as root_id, (len(path) - 1)::int as node_depth, array_to_stri
 union all select id, root_id, -1::int, '' from ringroot
 """,
     "p5_descendants": _P5 + "select path[i] as id, id as descendant_id, (len(path) - i)::int as distance from (select id, path, unnest(range(1, len(path))) as i from up)",
-    "p5_descendants_all": _P5 + """,
-steps as (select child as id, parent as anc, 1 as distance from edges where child not in (select id from up)
-  union select s.id, e.parent, s.distance + 1 from steps s join edges e on e.child = s.anc where s.distance <= (select count(*) from reach))
-select path[i] as id, id as descendant_id, (len(path) - i)::int as distance from (select id, path, unnest(range(1, len(path))) as i from up)
-union all select anc, id, min(distance)::int from steps where id <> anc group by anc, id
+    "p5_descendants_all": _P5 + """, links as (select distinct id as child, s.mainsnak.datavalue.value.id as parent from (select id, unnest(claims['P279']) as s from cur) where s.mainsnak.snaktype = 'value' and s.mainsnak.datavalue.value.id <> ''),
+steps as (select child as id, parent as anc, 1 as distance from links union select s.id, e.parent, s.distance + 1 from steps s join links e on e.child = s.anc where s.distance <= (select count(distinct child) from links))
+select anc as id, id as descendant_id, min(distance)::int as distance from steps where id <> anc group by anc, id
 """,
 }
