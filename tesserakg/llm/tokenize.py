@@ -19,12 +19,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tesserakg.runtime import map_arrow
+
 #: Where the vocabulary file is; a parameter of every function here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words remembered by a task before it starts afresh; bounds memory, changes no result.
 REMEMBERED = 300_000
+#: Characters of text whose new words share one occurrence index: a whole partition's batch, bounded in memory.
+TOGETHER = 4_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -126,8 +130,12 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", pat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary.value)
         for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                ids = encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
-
-    return documents.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+            texts, start, held = batch.column(1).to_pylist(), 0, 0
+            for i, t in enumerate(texts):
+                held += len(t or "")
+                if held >= TOGETHER or i == len(texts) - 1:
+                    ids = encode(texts[start : i + 1])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, i + 1 - start), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
+                    start, held = i + 1, 0
+
+    return map_arrow(documents.select(key, text), run, f"`{key}` {kind}, ids array<int>")
