@@ -260,3 +260,44 @@ def token_windows(tokens_per_mention: DataFrame, size: int) -> DataFrame:
         return pdf[["docno", "pos"]].assign(window=out)
 
     return tokens_per_mention.groupBy("docno").applyInPandas(run, "docno long, pos int, window int")
+
+
+# training material
+
+
+def sampled_negatives(m: DataFrame, pool: DataFrame, k: int, seed: str = "7") -> DataFrame:
+    """``docno, pos, negative, place``: k ids of a fixed random order that are neither the mention's nor another of its document.
+
+    The pool (``id``) is cut into as many slots as there are ids in it, and a mention draws consecutive slots from a random
+    one on; what is taboo is taken off afterwards, so that no mention meets the whole pool. Hence some mentions get fewer.
+    """
+    from pyspark.sql import Window as W
+
+    parts = pool.select("id").distinct().withColumn("r", shuffled(seed, F.col("id"))).withColumn("part", F.conv(F.substring("r", 1, 3), 16, 10).cast("int"))
+    placed = parts.withColumn("slot", F.row_number().over(W.partitionBy("part").orderBy("r", "id")))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "docno", "pos"), F.lit(4096)).cast("int")
+    asked = m.filter(F.col("qid").isNotNull()).select("docno", "pos", "qid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(2 * k)), lambda i: F.pmod(draw + i, F.lit(4096)))).alias("part"))
+    drawn = asked.join(placed.filter("slot = 1").select("part", F.col("id").alias("negative"), "r"), "part")
+    taboo = m.select("docno", F.col("qid").alias("negative")).filter(F.col("negative").isNotNull()).distinct()
+    fair = drawn.join(taboo, ["docno", "negative"], "left_anti")
+    order = W.partitionBy("docno", "pos").orderBy("r", "negative")
+    return fair.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("docno", "pos", "negative", "place")
+
+
+def random_marks(m: DataFrame, p: float, seed: str = "7") -> DataFrame:
+    """Mentions with a fixed share of the in-graph ones marked as outside, by their random numbers."""
+    number = F.conv(F.substring(shuffled(seed, F.concat_ws(":", "docno", "pos")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return m.withColumn("ookg", F.col("ookg") | (number < p))
+
+
+def free_occurrences(documents: DataFrame, m: DataFrame) -> DataFrame:
+    """``docno, mention, start``: further occurrences (in any case) of a document's mentions that overlap none of its spans."""
+    from tesserakg.functions.text import occurrences
+    from tesserakg.runtime import ship
+
+    ship(m.sparkSession)
+    names = m.filter(F.col("mention") != "").select("docno", "mention").distinct()
+    found = names.join(documents.filter(F.col("text").isNotNull()).select("docno", "text"), "docno").select("docno", "mention", F.explode(occurrences(F.col("text"), F.col("mention"))).alias("start"))
+    spans = m.select("docno", F.col("start").alias("s"), (F.col("start") + F.col("len")).alias("e")).filter("s is not null and e is not null")
+    hit = (found["docno"] == spans["docno"]) & (F.col("start") < F.col("e")) & (F.col("start") + F.length("mention") > F.col("s"))
+    return found.join(spans, hit, "left_anti").select("docno", "mention", "start")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesserakg.plans import candidate_queries, cluster_queries, dataset_queries, kg_queries, record_queries
+from tesserakg.plans import candidate_queries, cluster_queries, dataset_queries, function_queries, kg_queries, record_queries
 
-MODULES = [record_queries, kg_queries, candidate_queries, dataset_queries, cluster_queries]
+MODULES = [record_queries, kg_queries, candidate_queries, dataset_queries, cluster_queries, function_queries]
 
 
 def queries() -> dict:
