@@ -107,10 +107,12 @@ def record_children(records: DataFrame, key: str = "line_no") -> DataFrame:
     """The children of knowledge-graph records: labels, aliases, claims and the qualifiers of claims.
 
     ``key, child_kind, child_name, pos, sub_pos, child_value``, distinct rows; see the module for nulls. The records are
-    scanned once; a qualifier gets its statement's name and place within the group of the statement's path.
+    scanned once and shuffled once, whole, by their key: shredding, pivot, the way from a qualifier to its statement and the
+    removal of copies then stay within the record's partition.
     """
+    parts = ["labels", "aliases", "claims"]
     found = elements(
-        shred(records, key, ["labels", "aliases", "claims"]),
+        shred(records.select(key, *parts).repartition(F.col(key)), key, parts),
         {"value": "text", "mainsnak.snaktype": "main_type", "mainsnak.datavalue.value.id": "main_id", "snaktype": "qual_type", "datavalue.value.id": "qual_id"},
     )
     # every element is one child at most; only qualifiers look beyond their own row
