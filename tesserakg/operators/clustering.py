@@ -11,14 +11,12 @@ import math
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserakg.functions import text as T
-from tesserakg.functions import vectors as V
-from tesserakg.runtime import cut, drop, map_arrow, ship, skew_join
+from tesserakg.runtime import cut, drop, each_group, map_arrow, ship, skew_join
 
 #: Vectors sent to the tasks at a time, and rows compared at a time.
 BLOCK, ROWS = 25_000, 400
@@ -81,15 +79,38 @@ def pair_scores(pairs: DataFrame, nodes: DataFrame, mode: str, prefilter: float
     """
     ship(pairs.sparkSession)
     wide = pairs.select("a", "b").distinct()
-    for side in ("a", "b"):
-        wide = skew_join(wide, nodes.select(F.col("node").alias(side), F.col("mention").alias(f"m_{side}"), F.col("vec").alias(f"v_{side}")), side)
+    values = ["mention"] * (prefilter is not None or mode in ("edit", "partial")) + ["vec"] * (mode in ("cosine", "distance"))
+    for side in ("a", "b"):  # hot ids are split by the adaptive skew join
+        wide = wide.join(nodes.select(F.col("node").alias(side), *(F.col(v).alias(f"{v}_{side}") for v in values)), side)
     if prefilter is not None:
-        wide = wide.filter(T.edit_similarity(F.col("m_a"), F.col("m_b")) >= prefilter)
-    score = {
-        "cosine": lambda: V.cosine(F.col("v_a"), F.col("v_b")), "distance": lambda: -V.euclidean(F.col("v_a"), F.col("v_b")),
-        "edit": lambda: T.edit_similarity(F.col("m_a"), F.col("m_b")), "partial": lambda: T.partial_similarity(F.col("m_a"), F.col("m_b")),
-    }[mode]()
-    return wide.select("a", "b", score.alias("score")).filter(F.col("score").isNotNull())
+        wide = wide.filter(T.edit_similarity(F.col("mention_a"), F.col("mention_b")) >= prefilter)
+    if mode in ("edit", "partial"):
+        f = T.edit_similarity if mode == "edit" else T.partial_similarity
+        return wide.select("a", "b", f(F.col("mention_a"), F.col("mention_b")).alias("score")).filter(F.col("score").isNotNull())
+    same = F.size("vec_a") == F.size("vec_b")
+    kind = pairs.schema["a"].dataType.simpleString()
+    return map_arrow(wide.filter(same & (F.size("vec_a") > 0)).select("a", "b", "vec_a", "vec_b"), _vector_scores(mode), f"a {kind}, b {kind}, score double")
+
+
+def _vector_scores(mode: str):
+    """Cosine or negated distance of vector columns; vectors of other lengths or with nulls among them fall out pairwise."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            lengths = batch.column(2).value_lengths().to_numpy()
+            for n in np.unique(lengths):
+                at = np.flatnonzero(lengths == n)
+                part = batch.take(pa.array(at))
+                x, y = (part.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n) for k in (2, 3))
+                if mode == "distance":
+                    score = -np.sqrt(((x - y) ** 2).sum(1))
+                else:
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        score = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
+                ok = np.flatnonzero(np.isfinite(score))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ok)), part.column(1).take(pa.array(ok)), pa.array(score[ok])], ["a", "b", "score"])
+
+    return run
 
 
 def _unit(batch, size: int) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
@@ -242,27 +263,23 @@ def leader_clusters(m: DataFrame, t: float, contained: bool = False) -> DataFram
     Order matters, hence one grouped function per document (its mentions only). With ``contained`` a mention that contains a
     leader, or lies in one, joins it as well. Null mentions lead themselves.
     """
-    ship(m.sparkSession)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from tesserakg.functions.text import ratio
-
+    def run(docno, rows):  # noqa: ANN001, ANN202
         leaders: list[tuple[str, int]] = []
         out = []
-        for pos, name in pdf.sort_values("pos")[["pos", "mention"]].itertuples(index=False):
+        for _, pos, name in rows:
             best, at = t, None
             for other, p in leaders if name is not None else []:
-                s = ratio(name, other)
+                s = T.ratio(name, other)
                 if contained and (name in other or other in name):
                     s = max(s, 1.0)
                 if s > best:
                     best, at = s, p
             if at is None and name is not None:
                 leaders.append((name, pos))
-            out.append((pos, pos if at is None else at))
-        return pd.DataFrame({"docno": pdf["docno"].iloc[0], "pos": [o[0] for o in out], "leader": [o[1] for o in out]})
+            out.append((docno, pos, pos if at is None else at))
+        return out
 
-    return m.select("docno", "pos", "mention").groupBy("docno").applyInPandas(run, "docno long, pos int, leader int")
+    return each_group(m.select("docno", "pos", "mention"), "docno", ["pos"], run, "docno long, pos int, leader int")
 
 
 def best_threshold(pairs: DataFrame, gold: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserakg.runtime import each_group
+
 
 def mentions(documents: DataFrame) -> DataFrame:
     """``docno, pos, mention, qid, ookg, day, start, len`` of every marked mention."""
@@ -250,16 +252,16 @@ def token_windows(tokens_per_mention: DataFrame, size: int) -> DataFrame:
     function per document (its mentions only, never its text).
     """
 
-    def run(pdf):  # noqa: ANN001, ANN202
-        pdf = pdf.sort_values(["pos"])
+    def run(docno, rows):  # noqa: ANN001, ANN202
         window, begin, out = -1, None, []
-        for start, end in zip(pdf["tok_start"], pdf["tok_end"]):
+        for _, pos, start, end in rows:
             if begin is None or end - begin > size:
                 window, begin = window + 1, start
-            out.append(window)
-        return pdf[["docno", "pos"]].assign(window=out)
+            out.append((docno, pos, window))
+        return out
 
-    return tokens_per_mention.groupBy("docno").applyInPandas(run, "docno long, pos int, window int")
+    rows = tokens_per_mention.select("docno", "pos", "tok_start", "tok_end")
+    return each_group(rows, "docno", ["pos"], run, "docno long, pos int, window int")
 
 
 # training material

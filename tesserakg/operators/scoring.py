@@ -6,11 +6,11 @@ ties go to the first candidate of the list; null weights are not allowed; empty
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserakg.functions import vectors as V
+from tesserakg.runtime import each_group
 
 
 def pooled(tokens: DataFrame, spans: DataFrame, size: int) -> DataFrame:
@@ -76,29 +76,30 @@ def beam_links(scored: DataFrame, beams: int = 1, window: int = 5, context_weigh
     depends on the ones before it in the document, hence one grouped function per document (its candidates only).
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(docno, rows):  # noqa: ANN001, ANN202
         import bisect
+        from itertools import groupby
 
         held: list[tuple[float, list, list]] = [(0.0, [], [])]  # cost, links, types of the last ones
         places = []
-        for pos, rows in pdf.sort_values(["pos", "rank"], na_position="last").groupby("pos", sort=True):
+        for pos, group in groupby(rows, key=lambda r: r[1]):
             places.append(pos)
-            options = [(q, s, frozenset(t) if t is not None else frozenset()) for q, s, t in zip(rows["qid"], rows["score"], rows["types"]) if isinstance(q, str)]
+            options = [(q, s, frozenset(t or ())) for _, _, _, q, s, t in group if q is not None]
             new: list[tuple[float, list, list]] = []
             costs: list[float] = []
             for cost, chosen, recent in held:
-                ranked = [(s + context_weight * (sum(len(a & t) / len(a) if a else 1.0 for a in recent) / len(recent) if recent else 0.0), q, t) for q, s, t in options]
-                ranked = sorted(ranked, key=lambda x: -x[0])[:beams] or [(0.0, None, None)]
-                for s, q, t in ranked:
+                scored_ = [(s + (context_weight * type_context(recent, t) if context_weight else 0.0), q, t) for q, s, t in options]
+                for s, q, t in sorted(scored_, key=lambda x: -x[0])[:beams] or [(0.0, None, None)]:
                     at = bisect.bisect_right(costs, cost - s)
                     if at < beams:
                         costs.insert(at, cost - s)
                         new.insert(at, (cost - s, [*chosen, q], ([*recent, t] if t is not None else recent)[-window:] if window else []))
                         del costs[beams:], new[beams:]
             held = new
-        return pd.DataFrame({"docno": pdf["docno"].iloc[0], "pos": places, "link": held[0][1]})
+        return [(docno, p, q) for p, q in zip(places, held[0][1])]
 
-    return scored.select("docno", "pos", "rank", "qid", "score", "types").groupBy("docno").applyInPandas(run, "docno long, pos int, link string")
+    rows = scored.select("docno", "pos", "rank", "qid", "score", "types")
+    return each_group(rows, "docno", ["pos", "rank"], run, "docno long, pos int, link string")
 
 
 def context_mixed(rows: DataFrame) -> DataFrame:

@@ -113,3 +113,38 @@ def item_id(col: Column) -> Column:
 def iso_day(col: Column) -> Column:
     """The day of ``yyyy-MM-ddTHH:mm:ssZ``; null if it is none."""
     return F.when(col.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$"), F.substring(col, 1, 10).try_cast("date"))
+
+
+def each_group(df: DataFrame, key: str, order: list[str], f: Callable, schema: str) -> DataFrame:
+    """Rows of ``f(key, rows)`` for the ordered rows of every key, for steps that depend on the one before.
+
+    Keys are shuffled once and come in order, so a task holds one group at a time and no frame is made per group. Groups must
+    be small by their nature (the mentions of a document). ``rows`` are tuples in the order of the columns.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    at, arrow = df.columns.index(key), to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):  # noqa: ANN001, ANN202
+        held, current, out = [], None, []
+
+        def batch_of(rows):  # noqa: ANN001, ANN202
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x.type) for k, x in enumerate(arrow)], schema=arrow)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[at] != current:
+                    out += f(current, held)
+                    held = []
+                current = row[at]
+                held.append(row)
+            if len(out) > 5000:
+                yield batch_of(out)
+                out = []
+        if held:
+            out += f(current, held)
+        yield batch_of(out)
+
+    return map_arrow(df.repartition(key).sortWithinPartitions(key, *order), run, schema)
