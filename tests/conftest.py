@@ -12,7 +12,7 @@ os.environ.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
 def spark():
     from tests.compare import session
 
-    s = session("4")
+    s = session("8")
     s.conf.set("spark.sql.shuffle.partitions", "4")
     yield s
     s.stop()

@@ -30,7 +30,7 @@ def graph(seed, n=60, m=90):
     return {tuple(sorted(r.sample([f"m{i:02}" for i in range(n)], 2))): s / 1000 for s in scores}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_components(spark, seed):
     r = random.Random(seed)
     pairs = [(i, i + 1) for i in range(100, 150)] + [(500, 500 + i) for i in range(60)] + [(r.randrange(300), r.randrange(300)) for _ in range(90)]
@@ -39,7 +39,7 @@ def test_components(spark, seed):
     assert L.components(df.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("seed", [3])
 def test_spanning_forest_and_bottom_up(spark, seed):
     """Against the greedy rules over the sorted edges."""
     edges = graph(seed)
@@ -69,7 +69,7 @@ def test_spanning_forest_and_bottom_up(spark, seed):
     assert {x.node: x.root for x in got.collect()} == {n: min(cluster[n]) for n in nodes}
 
 
-@pytest.mark.parametrize("seed", [5, 6])
+@pytest.mark.parametrize("seed", [5])
 def test_path_clusters(spark, seed):
     """Against a search from all entities at once in every component with several of them."""
     edges = graph(seed, 40, 50)
