@@ -150,3 +150,42 @@ def percent(share: Column) -> Column:
 def page_url(day: Column) -> Column:
     """Address of the day's page of current events."""
     return F.concat(F.lit("https://en.wikipedia.org/wiki/Portal:Current_events/"), F.date_format(day, "yyyy_MMMM_d"))
+
+
+def xml_dict(page: str) -> dict:
+    """An XML text as nested dictionaries: attributes under ``@name``, text under ``#text``, repeated children as lists."""
+    from xml.etree import ElementTree
+
+    def of(node):  # noqa: ANN001, ANN202
+        out: dict = {f"@{k}": v for k, v in node.attrib.items()}
+        for child in node:
+            value = of(child)
+            if child.tag in out:
+                out[child.tag] = [*out[child.tag], value] if isinstance(out[child.tag], list) else [out[child.tag], value]
+            else:
+                out[child.tag] = value
+        text = (node.text or "").strip()
+        if not out:
+            return text or None
+        return out | ({"#text": text} if text else {})
+
+    root = ElementTree.fromstring(page)
+    return {root.tag: of(root)}
+
+
+def xml_json(c: Column) -> Column:
+    """XML texts as JSON; null for broken ones."""
+    import json
+
+    def run(s: pd.Series) -> pd.Series:
+        from xml.etree.ElementTree import ParseError
+
+        out = []
+        for x in s:
+            try:
+                out.append(None if x is None else json.dumps(xml_dict(x), ensure_ascii=False))
+            except ParseError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "string")(c)

@@ -199,3 +199,23 @@ def word_matches(words: DataFrame, tokens: DataFrame) -> DataFrame:
     # a token may be up to two letters longer than the word
     b = tokens.select("token", F.explode(variants("token", auto_edits(F.length("token") + 2))).alias("v"))
     return a.join(b, "v").select("word", "token", "most").distinct().filter(F.levenshtein("word", "token") <= F.col("most")).select("word", "token")
+
+
+def cluster_candidates(mentions: DataFrame, members: DataFrame, least: float = 0.9, n: int = 5) -> DataFrame:
+    """``mention, root, score`` of the n clusters whose best member is most similar to the mention (partial ratio above ``least``).
+
+    Members (``root, mention``) and mentions meet over shared words, an equality join; a partial ratio that high without a whole
+    word in common is not looked for. Distinct surfaces are compared once.
+    """
+    from tesserakg.functions.text import partial_similarity
+    from tesserakg.runtime import ship
+
+    ship(mentions.sparkSession)
+    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2)))
+    asked = mentions.filter(F.col("mention").isNotNull()).select("mention").distinct().select("mention", words("mention").alias("word"))
+    held = members.filter(F.col("mention").isNotNull()).select("root", F.col("mention").alias("member")).distinct()
+    surfaces = held.select("member").distinct().select("member", words("member").alias("word"))
+    pairs = asked.join(surfaces, "word").select("mention", "member").distinct().withColumn("score", partial_similarity(F.col("mention"), F.col("member"))).filter(F.col("score") > least)
+    best = pairs.join(held, "member").groupBy("mention", "root").agg(F.round(F.max("score"), 6).alias("score"))
+    order = Window.partitionBy("mention").orderBy(F.desc("score"), "root")
+    return best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n).select("mention", "root", "score")

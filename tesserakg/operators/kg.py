@@ -167,3 +167,8 @@ def multi_hot(types: DataFrame, vocabulary: DataFrame) -> DataFrame:
     order = vocabulary.agg(F.sort_array(F.collect_set("type")).alias("order"))
     own = types.groupBy("id").agg(F.collect_set("type").alias("own"))
     return own.crossJoin(F.broadcast(order)).select("id", F.transform("order", lambda t: F.array_contains("own", t).cast("int")).alias("vec"))
+
+
+def connected(claims: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``id, property, other``: the neighbours of wanted ids, in the direction of the claims."""
+    return claims.join(wanted.select(F.col("id").alias("subject")).distinct(), "subject", "left_semi").select(F.col("subject").alias("id"), "property", F.col("object").alias("other"))

@@ -211,3 +211,20 @@ def two_best(rows: DataFrame, group: str, name: str, value: str) -> DataFrame:
     order = Window.partitionBy(group).orderBy(F.desc(value), name)
     placed = rows.filter(F.col(value).isNotNull()).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2)
     return placed.groupBy(group).agg(F.max(F.when(F.col("place") == 1, F.col(name))).alias("best"), F.max(F.when(F.col("place") == 2, F.col(name))).alias("second"))
+
+
+def position_agreement(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """One row: how far the links of another service agree, compared by document and place (``docno, pos, link``).
+
+    Places that only one side has count as missing on the other; null links count as outside the graph.
+    """
+    both = ours.select("docno", "pos", F.col("link").alias("a"), F.lit(True).alias("in_a")).join(theirs.select("docno", "pos", F.col("link").alias("b"), F.lit(True).alias("in_b")), ["docno", "pos"], "full")
+    met = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
+    s = both.agg(F.count_if(met).alias("n_both"), F.count_if(F.col("in_b").isNull()).alias("n_only_ours"), F.count_if(F.col("in_a").isNull()).alias("n_only_theirs"), F.count_if(met & F.col("a").eqNullSafe(F.col("b"))).alias("n_equal"), F.count_if(met & F.col("a").isNull() & F.col("b").isNull()).alias("n_both_outside"))
+    return s.select("*", _r(_share(F.col("n_equal"), F.col("n_both"))).alias("agreement"))
+
+
+def mean_over_chunks(rows: DataFrame, chunk: str, value: str) -> DataFrame:
+    """One row: mean of the chunks' means, so that chunks of any size count alike."""
+    per = rows.filter(F.col(value).isNotNull()).groupBy(chunk).agg(F.avg(value).alias("m"))
+    return per.agg(F.count("*").alias("n_chunks"), _r(F.avg("m")).alias("mean"))

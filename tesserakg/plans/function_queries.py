@@ -9,6 +9,7 @@ from tesserakg.functions import text as T
 from tesserakg.operators import candidates as C
 from tesserakg.operators import datasets as D
 from tesserakg.operators import kg as K
+from tesserakg.operators import metrics as M
 from tesserakg.plans import base as B
 from tesserakg.runtime import table
 from tesserakg.sources import writers as W
@@ -88,7 +89,31 @@ def windowed_mentions(spark: SparkSession, d: str) -> DataFrame:
     return S.windowed_mentions(table(spark, d, "wikievents_train").distinct(), late="36500 days")
 
 
-QUERIES = {f.__name__: f for f in (edit_similarity, url_round_trip, occurrence_counts, day_pages, json_fields, formatted_counts, nif_export, evaluator_table, label_index, type_vectors, sampled_negatives, random_marks, free_occurrences, windowed_mentions)}
+def connected_to(spark: SparkSession, d: str) -> DataFrame:
+    """Claims of the records that the events mention."""
+    ids = B.mentions(spark, d).filter("qid is not null").select(F.col("qid").alias("id"))
+    return K.connected(K.claim_rows(B.reduced(spark, d)), ids)
+
+
+def service_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Links by gold ids against those of a lookup by the exact surface's most frequent id."""
+    m = B.mentions(spark, d)
+    best = m.filter("qid is not null").groupBy("mention").agg(F.min("qid").alias("link"))
+    return M.position_agreement(m.filter("pos > 0").select("docno", "pos", F.col("qid").alias("link")), m.filter("pos < 4").join(best, "mention", "left").select("docno", "pos", "link"))
+
+
+def chunk_means(spark: SparkSession, d: str) -> DataFrame:
+    """Mean score of matched pairs, over the blocks' means."""
+    return M.mean_over_chunks(table(spark, d, "mention_pairs").filter("is_match"), "block_key", "score")
+
+
+def cluster_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of equal surfaces (lower case) for the events' mentions."""
+    members = table(spark, d, "processed_mention").select(F.lower("mention").alias("root"), "mention")
+    return C.cluster_candidates(B.mentions(spark, d), members)
+
+
+QUERIES = {f.__name__: f for f in (edit_similarity, url_round_trip, occurrence_counts, day_pages, json_fields, formatted_counts, nif_export, evaluator_table, label_index, type_vectors, sampled_negatives, random_marks, free_occurrences, windowed_mentions, connected_to, service_comparison, chunk_means, cluster_candidates)}
 
 _M = "with " + B.SQL_MENTIONS
 _E = "with " + B.SQL_EVENTS + ", e as (select docno, (i - 1)::int as pos, e.page_title as title, e.mention as mention from (select docno, unnest(entities) as e, generate_subscripts(entities, 1) as i from ev))"
@@ -107,4 +132,10 @@ from m where start is not null and len is not null""",
     "type_vectors": "with " + B.SQL_KG + ", t as (select id, unnest(map_keys(one_hop_types)) as type from kg where id is not null), v as (select type from t group by type order by count(*) desc, type limit 71) select i.id, string_agg(case when t.id is null then '0' else '1' end, '' order by v.type) as bits from (select distinct id from t) i cross join v left join t on t.id = i.id and t.type = v.type group by i.id",
     "random_marks": _M + " select docno, pos, ookg or (('0x' || substr(md5('7|' || docno || ':' || pos), 1, 8))::bigint / 4294967296.0 < 0.1) as ookg from m",
     "windowed_mentions": "select date_trunc('day', ingested) as win_start, e.qid as qid, count(*) as n from (select ingested, unnest(entities) as e from (select distinct * from wikievents_train where ingested is not null)) where e.qid is not null group by all",
+    "connected_to": _M + ", " + B.SQL_CLAIMS + " select subject as id, property, object as other from claims_ where subject in (select qid from m where qid is not null)",
+    "service_comparison": _M + """, b as (select mention, min(qid) as link from m where qid is not null group by mention), x as (select docno, pos, qid as a from m where pos > 0), y as (select m.docno, m.pos, b.link as b from m left join b using (mention) where m.pos < 4),
+j as (select a, b, x.docno is not null as ia, y.docno is not null as ib from x full join y using (docno, pos)), s as (select count(*) filter (ia and ib) as n_both, count(*) filter (not ib) as n_only_ours, count(*) filter (not ia) as n_only_theirs,
+  count(*) filter (ia and ib and a is not distinct from b) as n_equal, count(*) filter (ia and ib and a is null and b is null) as n_both_outside from j) select *, round(coalesce(n_equal / nullif(n_both, 0), 0.0), 6) as agreement from s
+""",
+    "chunk_means": "select count(*) as n_chunks, round(avg(m), 6) as mean from (select avg(score) as m from mention_pairs where is_match and score is not null group by block_key)",
 }

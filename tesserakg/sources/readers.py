@@ -167,3 +167,8 @@ def stream(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFr
 def ordered(df: DataFrame, group: str, order: str) -> DataFrame:
     """Rows numbered from 0 within a group."""
     return df.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
+
+
+def parameters(spark: SparkSession, path: str) -> dict[str, float]:
+    """A scorer's weights by name; as many rows as it has features."""
+    return {r["name"]: r["weight"] for r in spark.read.schema("name string, weight double").json(path).collect()}

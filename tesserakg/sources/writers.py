@@ -53,3 +53,8 @@ def booktabs(small: DataFrame, best: bool = True) -> str:
     show = lambda x, k: "-" if x is None else (f"\\textbf{{{x:.3f}}}" if best and x == top[k] else f"{x:.3f}") if isinstance(x, float) else str(x)
     lines = [" & ".join(show(x, k) for k, x in enumerate(r)) + r" \\" for r in rows]
     return "\n".join([r"\begin{tabular}{l" + "r" * (len(small.columns) - 1) + "}", r"\toprule", " & ".join(small.columns) + r" \\", r"\midrule", *lines, r"\bottomrule", r"\end{tabular}"])
+
+
+def parameters(df: DataFrame, path: str) -> None:
+    """A scorer's weights (``name, weight``) as a small table, in one file."""
+    df.coalesce(1).write.mode("overwrite").json(path)

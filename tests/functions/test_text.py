@@ -64,3 +64,9 @@ def test_vectors(spark):
     assert sum(s[0]) == pytest.approx(1) and s[1:] == (1, 1.0, 0.25, 0.0)
     mean = df.filter("a is not null").groupBy().agg(V.mean_vector("b", 2)).first()[0]
     assert mean == [2.5, 2.0]
+
+
+def test_xml(spark):
+    assert T.xml_dict('<a x="1"><b>t</b><b/><c><d>e</d></c>tail</a>') == {"a": {"@x": "1", "b": ["t", None], "c": {"d": "e"}}}
+    df = spark.createDataFrame([("<a>é</a>",), ("<broken",), (None,)], "x string")
+    assert [r[0] for r in df.select(T.xml_json(F.col("x"))).collect()] == ['{"a": "é"}', None, None]

@@ -66,3 +66,9 @@ def test_decisive_types(spark):
     d = E.decisive_types(cand, types)
     assert sorted(map(tuple, d.collect())) == [(1, 0, "x"), (1, 1, "y")]
     assert E.greedy_cover(d, 5) == [("x", 1), ("y", 1)] and [tuple(r) for r in E.top_types(d, 1).collect()] == [("x", 1)]
+
+
+def test_clusters_by_their_members(spark):
+    members = spark.createDataFrame([("c1", "Bank of Kolma"), ("c1", "Kolma"), ("c2", "Vrelt City"), ("c3", None)], "root string, mention string")
+    got = {(r.mention, r.root): r.score for r in C.cluster_candidates(spark.createDataFrame([("the Bank of Kolma",), ("Vrelt Institute",), (None,)], "mention string"), members).collect()}
+    assert got == {("the Bank of Kolma", "c1"): 1.0}

@@ -92,3 +92,8 @@ def test_written_texts_and_tables(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "res")).count() == 1
     tex = W.booktabs(spark.createDataFrame([("a", 0.5), ("b", 0.25), ("c", None)], "name string, f double"))
     assert "\\textbf{0.500}" in tex and "b & 0.250" in tex and "c & -" in tex
+
+
+def test_parameters_round_trip(spark, tmp_path):
+    W.parameters(spark.createDataFrame([("prior", 1.0), ("degree", 0.5)], "name string, weight double"), str(tmp_path / "w"))
+    assert R.parameters(spark, str(tmp_path / "w")) == {"prior": 1.0, "degree": 0.5}
