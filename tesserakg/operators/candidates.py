@@ -7,10 +7,10 @@ give empty results; only the named columns are read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserakg.runtime import skew_join
+from tesserakg.runtime import cut, skew_join
 
 
 def mention_priors(mentions: DataFrame) -> DataFrame:
@@ -161,23 +161,46 @@ def token_index(names: DataFrame) -> DataFrame:
     return names.filter(F.col("name").isNotNull()).select("id", "name", words.alias("w")).filter(F.size("w") > 0).select("id", "name", F.size("w").alias("n_tokens"), F.explode(F.array_distinct("w")).alias("token"))
 
 
+def _words(c: str) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+
+
 def fuzzy_candidates(mentions: DataFrame, names: DataFrame, degree: DataFrame, boost: float = 0.1, k: int = 100) -> DataFrame:
     """``mention, qid, score`` of the k best: the share of the mention's words that a name matches, at least half, plus popularity.
 
     A word matches one of at most 0, 1 or 2 edits by its length (under 3, 3 to 5, more). Of several names of an entity the
     best counts; ``boost * ln(1 + num_claims)`` is added. Words meet over their variants with up to two letters left out, an
     equality join that holds every pair within two edits; the edits are verified.
+
+    A mention's matched words are put in the order of their names' number, the most frequent first. A name is met at the last of
+    the words that it matches, and the words up to there (a prefix, at least as long as the matches asked for) are all that its
+    score needs. Mentions share prefixes, so each prefix is asked once for its k best, and a frequent word meets its names once
+    per prefix that ends in it, not once per mention. Names that k others beat within a prefix are beaten by them in the mention
+    as well, since more words only raise the score; so the k best over all prefixes are the mention's.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    asked = mentions.filter(F.col("mention").isNotNull()).select("mention").distinct().withColumn("w", words("mention")).filter(F.size("w") > 0)
+    asked = mentions.filter(F.col("mention").isNotNull()).select("mention").distinct().withColumn("w", _words("mention")).filter(F.size("w") > 0)
     rows = asked.select("mention", F.size("w").alias("n"), F.explode("w").alias("word"))
-    index = token_index(names)
-    met = word_matches(rows.select("word").distinct(), index.select("token").distinct())
-    hits = rows.join(met, "word").join(index, "token").groupBy("mention", "n", "id", "name").agg(F.count_distinct("word").alias("hit"))
-    good = hits.filter(F.col("hit") * 2 >= F.col("n")).groupBy("mention", "id").agg(F.max(F.col("hit") / F.col("n")).alias("text_score"))
-    scored = good.filter(~F.col("id").startswith("P")).join(degree.select("id", "num_claims"), "id", "left").withColumn("score", F.round(F.col("text_score") + boost * F.log1p(F.coalesce("num_claims", F.lit(0))), 6))
-    order = Window.partitionBy("mention").orderBy(F.desc("score"), "id")
-    return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("mention", F.col("id").alias("qid"), "score")
+    index = token_index(names.filter(~F.col("id").startswith("P")).distinct()).withColumn("tokens", _words("name"))
+    met = cut(word_matches(rows.select("word").distinct(), index.select("token").distinct()))
+    weight = met.join(index.groupBy("token").agg(F.count("*").alias("names")), "token").groupBy("word").agg(F.sum("names").alias("names"))
+    order = F.sort_array(F.collect_list(F.struct("names", "word")), asc=False)
+    lists = skew_join(rows, weight, "word").groupBy("mention", "n").agg(F.transform(order, lambda x: x["word"]).alias("w"))
+    least = F.ceil(F.col("n") / 2).cast("int")
+    prefixes = lists.filter(F.size("w") >= least).select("mention", "n", F.explode(F.transform(F.sequence(least, F.size("w")), lambda j: F.slice("w", 1, j))).alias("prefix"))
+    prefixes = cut(prefixes.withColumn("key", F.to_json(F.struct("n", "prefix"))))
+    ends = prefixes.select("key", "n", "prefix", F.element_at("prefix", -1).alias("word")).dropDuplicates(["key"])
+    hit = F.size(F.filter("prefix", lambda w: F.exists("tokens", lambda t: F.levenshtein(w, t) <= auto_edits(F.length(w)))))
+    hits = ends.join(met, "word").join(index, "token").select("key", "n", "id", hit.alias("hit")).filter(F.col("hit") * 2 >= F.col("n"))
+    good = hits.groupBy("key", "id").agg(F.max(F.col("hit") / F.col("n")).alias("text_score"))
+    scored = good.join(degree.select("id", "num_claims"), "id", "left").withColumn("score", F.round(F.col("text_score") + boost * F.log1p(F.coalesce("num_claims", F.lit(0))), 6))
+    best = cut(_first(scored, "key", k).groupBy("key").agg(F.collect_list(F.struct("id", "score")).alias("best")))
+    of = skew_join(prefixes.select("mention", "key"), best, "key").select("mention", F.explode("best").alias("b")).select("mention", "b.*")
+    return _first(of.repartition("mention").groupBy("mention", "id").agg(F.max("score").alias("score")), "mention", k).select("mention", F.col("id").alias("qid"), "score")
+
+
+def _first(scored: DataFrame, by: str, k: int) -> DataFrame:
+    """The k rows of the highest score (ties: smaller id)."""
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "id"))).filter(F.col("place") <= k).drop("place")
 
 
 def auto_edits(length: F.Column) -> F.Column:

@@ -1,3 +1,7 @@
+import functools
+import math
+import random
+
 from tesserakg.operators import candidates as C
 from tesserakg.operators import decisive as E
 from tesserakg.operators import kg as K
@@ -72,3 +76,35 @@ def test_clusters_by_their_members(spark):
     members = spark.createDataFrame([("c1", "Bank of Kolma"), ("c1", "Kolma"), ("c2", "Vrelt City"), ("c3", None)], "root string, mention string")
     got = {(r.mention, r.root): r.score for r in C.cluster_candidates(spark.createDataFrame([("the Bank of Kolma",), ("Vrelt Institute",), (None,)], "mention string"), members).collect()}
     assert got == {("the Bank of Kolma", "c1"): 1.0}
+
+
+def most_rows(plan):
+    """The largest number of rows that an operator of a finished plan put out."""
+    kind = plan.getClass().getSimpleName()
+    inner = plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan() if kind.endswith("QueryStageExec") else None
+    below = [inner] if inner else [plan.children().apply(i) for i in range(plan.children().length())]
+    own = plan.metrics().get("numOutputRows")
+    return max([own.get().value() if own.isDefined() else 0, *map(most_rows, below)])
+
+
+def test_fuzzy_candidates_with_a_word_that_all_share(spark):
+    """A word in every mention and name makes no row for each pair of them, and the best are those of all pairs."""
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcde") for _ in range(6))
+    kinds = ["treaty", "treayt", "house"]
+    names = sorted({(f"{'P' if i % 50 == 0 else 'Q'}{i % 700}", f"{r.choice(kinds)} of {word()}" if i % 3 else word()) for i in range(900)})
+    asked = sorted({f"{r.choice(kinds)} of {word()}" if i % 3 else r.choice([f"of {word()}", f"{word()} house", "of"]) for i in range(600)})
+    claims = {f"Q{i}": i % 7 for i in range(500)}
+    out = C.fuzzy_candidates(spark.createDataFrame([(m,) for m in asked], "mention string"), spark.createDataFrame(names, "id string, name string"), spark.createDataFrame(sorted(claims.items()), "id string, num_claims long"), k=4)
+    got = {(x.mention, x.qid): x.score for x in out.collect()}
+    assert most_rows(out._jdf.queryExecution().executedPlan()) < len(asked) * len(names) / 10
+    near = functools.cache(lambda a, b: levenshtein(a, b) <= (0 if len(a) < 3 else 1 if len(a) <= 5 else 2))
+    for m in asked[::6]:
+        w = sorted(set(m.split()))
+        best = {}
+        for q, name in names:
+            hit = sum(any(near(x, t) for t in name.split()) for x in w)
+            if q[0] != "P" and 2 * hit >= len(w):
+                best[q] = max(best.get(q, 0.0), hit / len(w))
+        wanted = sorted((-round(s + 0.1 * math.log1p(claims.get(q, 0)), 6), q) for q, s in best.items())[:4]
+        assert sorted((-s, q) for (x, q), s in got.items() if x == m) == wanted
