@@ -6,11 +6,15 @@ left out by the caller; divisions by zero give 0 where the formula says so and n
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserakg.runtime import map_arrow  # noqa: F401  (ships the package for the grouped functions)
-from tesserakg.runtime import ship
+from tesserakg.runtime import map_arrow
 
 
 def _r(c: Column) -> Column:
@@ -135,30 +139,90 @@ def assign(weights: list[list[float]]) -> list[int]:
     return out
 
 
+def assign_cells(rows: np.ndarray, columns: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Places of the cells of the heaviest one-to-one assignment; only pairs that meet have a cell, all weights are positive.
+
+    As ``assign``, over cells instead of a matrix: memory follows the cells. Each row left over by a greedy start looks for the
+    shortest path (Dijkstra) to a free column or to a row that had better stay without one; blocks may lie side by side.
+    """
+    if len(rows) == 0:
+        return np.zeros(0, dtype=np.int64)
+    if rows.max() > columns.max():
+        rows, columns = columns, rows
+    order = np.argsort(rows, kind="stable")
+    n, m = int(rows.max()) + 1, int(columns.max()) + 1
+    start = np.searchsorted(rows[order], np.arange(n + 1)).tolist()
+    row_of, column_of, weight = rows[order].tolist(), columns[order].tolist(), weights[order].tolist()
+    # prices with u + v >= weight, equal for chosen cells; free columns have v = 0, rows left over u = 0
+    u = [max(weight[start[i] : start[i + 1]], default=0) for i in range(n)]
+    v, by_row, by_column = [0] * m, [-1] * n, [-1] * m
+    for i in range(n):
+        for e in range(start[i], start[i + 1]):
+            if weight[e] == u[i] and by_column[column_of[e]] < 0:
+                by_row[i] = by_column[column_of[e]] = e
+                break
+    for i in range(n):
+        if by_row[i] >= 0 or u[i] <= 0:
+            continue
+        best, end_row, end = u[i], i, -1
+        far, came, done, heap, seen = {}, {}, {}, [], [(i, 0)]
+        row, at = i, 0
+        while True:
+            for e in range(start[row], start[row + 1]):
+                j = column_of[e]
+                if j in done:
+                    continue
+                d = max(at, at + u[row] + v[j] - weight[e])
+                if d < best and d < far.get(j, best):
+                    far[j], came[j] = d, e
+                    if by_column[j] < 0:
+                        best, end_row, end = d, -1, j
+                    else:
+                        heapq.heappush(heap, (d, j))
+            while heap and heap[0][1] in done:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= best:
+                break
+            at, j = heapq.heappop(heap)
+            done[j], row = at, row_of[by_column[j]]
+            seen.append((row, at))
+            if at + u[row] < best:
+                best, end_row, end = at + u[row], row, j
+        for k, d in seen:
+            u[k] -= best - d
+        for j, d in done.items():
+            v[j] += best - d
+        if end_row >= 0:
+            u[end_row], by_row[end_row] = 0, -1
+        while end >= 0:
+            e = came[end]
+            k, before = row_of[e], by_row[row_of[e]]
+            by_row[k] = by_column[end] = e
+            end = -1 if k == i else column_of[before]
+    return np.sort(order[[e for e in by_row if e >= 0]])
+
+
 def assignments(table: DataFrame, components, weight: Column | None = None) -> DataFrame:  # noqa: ANN001
     """``gold, pred, n, w`` of the heaviest one-to-one assignment of a contingency table; pairs that never meet are left out.
 
-    The table is split into connected blocks first (``components`` of clustering): the assignment is solved per block, in as
-    many tasks as there are blocks.
+    The table is split into connected blocks first (``components`` of clustering). Blocks are dealt out to tasks, and each task
+    solves its own at once; a block is never split, so a task holds the cells of the largest block, but no matrix.
     """
-    import pandas as pd
-
-    ship(table.sparkSession)
     cells = table.select("gold", "pred", "n", (F.col("n").cast("double") if weight is None else weight).alias("w"))
     edges = cells.select(F.concat(F.lit("g:"), "gold").alias("a"), F.concat(F.lit("p:"), "pred").alias("b"))
     block = components(edges).select(F.col("node").alias("g"), F.col("root").alias("block"))
     tagged = cells.withColumn("g", F.concat(F.lit("g:"), "gold")).join(block, "g").drop("g")
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        from tesserakg.operators.metrics import assign as best
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tesserakg.operators.metrics import assign_cells as best
 
-        golds, preds = sorted(set(pdf["gold"])), sorted(set(pdf["pred"]))
-        at = {(g, p): (n, w) for g, p, n, w in zip(pdf["gold"], pdf["pred"], pdf["n"], pdf["w"])}
-        match = best([[at.get((g, p), (0, 0.0))[1] for p in preds] for g in golds])
-        rows = [(golds[i], preds[j], *at[golds[i], preds[j]]) for i, j in enumerate(match) if j >= 0 and (golds[i], preds[j]) in at]
-        return pd.DataFrame(rows, columns=["gold", "pred", "n", "w"])
+        held = [b for b in batches if b.num_rows]
+        if held:
+            rows = pa.Table.from_batches(held)
+            code = lambda c: rows.column(c).combine_chunks().dictionary_encode().indices.to_numpy()
+            yield from rows.take(pa.array(best(code("gold"), code("pred"), rows.column("w").to_numpy()))).to_batches()
 
-    return tagged.groupBy("block").applyInPandas(solve, "gold string, pred string, n long, w double")
+    return map_arrow(tagged.repartition("block").select("gold", "pred", "n", "w"), solve, "gold string, pred string, n long, w double")
 
 
 def ceaf(table: DataFrame, components) -> DataFrame:  # noqa: ANN001

@@ -1,6 +1,7 @@
 import random
 from itertools import permutations
 
+import numpy as np
 import pytest
 
 from tesserakg.operators import metrics as M
@@ -20,6 +21,25 @@ def test_assignment_against_all_permutations():
     assert M.assign([]) == []
 
 
+def test_sparse_assignment_against_the_dense_one():
+    r = random.Random(2)
+    for k in range(300):
+        n, m = r.randint(1, 9), r.randint(1, 9)
+        cells = {(r.randrange(n), r.randrange(m)): r.choice([1, 2, 3, 7]) if k % 2 else r.uniform(0.1, 1) for _ in range(r.randint(1, 30))}
+        rows, columns, w = (np.array(x) for x in zip(*((i, j, x) for (i, j), x in cells.items())))
+        kept = M.assign_cells(rows, columns, w)
+        assert len(set(rows[kept])) == len(set(columns[kept])) == len(kept)
+        dense = [[cells.get((i, j), 0) for j in range(m)] for i in range(n)]
+        assert w[kept].sum() == pytest.approx(sum(dense[i][j] for i, j in enumerate(M.assign(dense)) if j >= 0))
+
+
+def test_a_block_is_no_matrix(spark):
+    """One gold id that meets 6,000 clusters ties all of them to one block; its matrix would have 36 million places."""
+    rows = [("all", f"p{i}", 1) for i in range(6000)] + [(f"g{i}", f"p{i}", 2) for i in range(1, 6000)]
+    got = M.assignments(spark.createDataFrame(rows, "gold string, pred string, n long"), components).groupBy("n").count()
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 5999)]
+
+
 LABELS = {"perfect": ("aabbc", "xxyyz"), "singles": ("aabbc", "12345"), "one": ("aabbc", "11111"), "mixed": ("aaabbbccd", "112223331")}
 
 
